@@ -27,7 +27,7 @@ from .common import materialise
 #: A group with more than 1 / (shards * SHARE) of the rows, bytes or tokens is cut into chunks.
 SHARE = 4
 ROWS_IN_BUCKET = 20_000
-MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+MAX_BUCKETS = 4096
 
 
 def place(items: np.ndarray, bins: int, capacity: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ def place(items: np.ndarray, bins: int, capacity: np.ndarray) -> np.ndarray:
     scaled = items / np.where(capacity > 0, capacity, 1)
     residual = np.ones((bins, items.shape[1]))
     out = np.zeros(len(items), dtype=np.int32)
-    for k in np.argsort(-scaled.max(axis=1), kind="stable").tolist() if len(items) else ():
+    for k in np.argsort(-scaled.sum(axis=1), kind="stable").tolist() if len(items) else ():
         at = int((residual @ scaled[k]).argmax())
         residual[at] -= scaled[k]
         out[k] = at
@@ -89,10 +89,10 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t"))
     share = F.greatest(*(F.col(x) / max(totals[x] or 0, 1) for x in "nbt"))
     hot = groups.select("text_hash", share.alias("share"), "n").where((F.col("share") > limit) & (F.col("n") > 1)).collect()
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_IN_BUCKET))
+    buckets = min(MAX_BUCKETS, max(1, n // ROWS_IN_BUCKET))
     salt = F.lit(0)
     if hot:
-        chunks = F.create_map(*(F.lit(v) for r in hot for v in (r["text_hash"], int(np.ceil(r["share"] * buckets * shards)))))
+        chunks = F.create_map(*(F.lit(v) for r in hot for v in (r["text_hash"], int(np.ceil(r["share"] * buckets * shards * SHARE)))))
         salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(chunks, F.col("text_hash"))), F.lit(0)).cast("int")
     salted = rows.withColumn("salt", salt)
     salted = salted.withColumn("bucket", F.pmod(F.xxhash64("text_hash", "salt"), F.lit(buckets)).cast("int"))

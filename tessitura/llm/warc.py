@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,7 +56,7 @@ def _plain(value) -> str:
 
 
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One WARC/1.1 record. A revisit has the HTTP header alone as its block."""
+    """One WARC/1.1 record as a gzip member. A revisit has the HTTP header alone as its block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     fields = [
@@ -70,12 +71,13 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> b
     if kind == "revisit":
         fields[2:2] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:x-page:{_plain(refers_to)}>")]
     head = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    return b"WARC/1.1\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(b"WARC/1.1\r\n" + head + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Headers, HTTP header and payload of the record that ``data`` holds."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+    head, _, rest = zlib.decompress(data, 31).partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record starts here")
@@ -186,5 +188,6 @@ def read(selected: DataFrame) -> DataFrame:
                 arrays = [refers if t is None else pa.array(x, type=t) for x, t in zip(got, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "record_type", "refers_to", "digest", "payload_bytes", "payload", "intact"])
 
-    spread = ranges(selected).repartition("folder", "archive", "run")
+    tasks = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows name many bytes, so tasks aren't merged by their size
+    spread = ranges(selected).repartition(tasks, "folder", "archive", "run")
     return spread.mapInArrow(run, schema)

@@ -26,21 +26,19 @@ def atoms(bounds: DataFrame, key: str) -> DataFrame:
 def active(intervals: DataFrame, key: str, label: str) -> DataFrame:
     """Elementary intervals with the sorted labels active in each: a sweep.
 
-    Instead of joining intervals and elementary intervals, every interval is
-    opened and closed in a running count by label between the bounds that
-    matter to it.
+    Elementary intervals are numbered, every interval finds the numbers of its
+    own two bounds by equal times, and covers those between.
     """
     bounds = intervals.select(key, F.explode(F.array("start", "stop")).alias("t"))
-    cells = atoms(bounds, key)
     w = Window.partitionBy(key).orderBy("start")
-    numbered = cells.withColumn("cell", F.row_number().over(w))
-    first = numbered.select(key, F.col("start").alias("_at"), F.col("cell").alias("_from"))
-    last = numbered.select(key, F.col("stop").alias("_end"), F.col("cell").alias("_to"))
-    spans = intervals.where("stop > start").join(first, (intervals["start"] == first["_at"]) & intervals[key].eqNullSafe(first[key])).drop(first[key])
-    spans = spans.join(last, (F.col("stop") == last["_end"]) & spans[key].eqNullSafe(last[key])).drop(last[key])
-    within = spans.select(key, label, F.explode(F.sequence("_from", "_to")).alias("cell"))
-    names = within.groupBy(key, "cell").agg(F.array_sort(F.collect_set(label)).alias("labels"))
-    return numbered.join(names, [key, "cell"]).select(key, "start", "stop", "labels")
+    cells = atoms(bounds, key).withColumn("cell", F.row_number().over(w))
+    first = cells.select(F.col(key).alias("_k"), F.col("start").alias("_at"), F.col("cell").alias("_from"))
+    last = cells.select(F.col(key).alias("_l"), F.col("stop").alias("_end"), F.col("cell").alias("_to"))
+    spans = intervals.where("stop > start").join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("start") == F.col("_at")))
+    spans = spans.join(last, F.col(key).eqNullSafe(F.col("_l")) & (F.col("stop") == F.col("_end")))
+    within = spans.select(F.col(key).alias("_k"), F.col(label), F.explode(F.sequence("_from", "_to")).alias("_cell"))
+    names = within.groupBy("_k", "_cell").agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    return cells.join(names, F.col(key).eqNullSafe(F.col("_k")) & (F.col("cell") == F.col("_cell"))).select(key, "start", "stop", "labels")
 
 
 def turns_to_rttm(segments: DataFrame, key: str) -> DataFrame:

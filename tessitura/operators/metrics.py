@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 
 def trade_off(scores: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def word_distance(reference: str, hypothesis: str) -> int:
     return int(row[-1])
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([word_distance(a or "", b or "") for a, b in zip(reference, hypothesis, strict=True)], dtype="int64")
 

@@ -15,14 +15,15 @@ def shuffle_key(seed: str, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
 
 
-def sum_before(rows: DataFrame, group: str, order: str, value: str, out: str = "before") -> DataFrame:
-    """The sum of ``value`` over the group's earlier rows, by a hexadecimal key.
+def sum_before(rows: DataFrame, group: str, order: str, value: str, out: str = "before", part: Column | None = None) -> DataFrame:
+    """The sum of ``value`` over the group's earlier rows.
 
-    No task sees a whole group: rows are divided by the first three digits of
-    their key, the divisions' sums (4096 by group at most) are added up, and
-    each division numbers its own rows.
+    No task sees a whole group: rows are divided by ``part``, which must rise
+    with the order (by default the first three digits of a hexadecimal key,
+    so 4096 parts), the parts' sums are added up, and each part adds up its
+    own rows.
     """
-    part = F.substring(order, 1, 3)
+    part = F.substring(order, 1, 3) if part is None else part
     divided = rows.withColumn("_part", part)
     sums = divided.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -109,7 +109,7 @@ class Items:
             surprise = -np.log(np.maximum(shares[np.searchsorted(self.vocabulary, words)], 1e-12))
             sums = np.convolve(surprise, np.ones(SEED_WORDS), "valid")
             middle = np.sort(sums)[n // 2]
-            out |= {(k, int(j)) for j in np.flatnonzero((sums >= RARE) | (sums >= middle))}
+            out |= {(k, int(j)) for j in np.flatnonzero((sums >= RARE) | (sums >= middle - 1e-9))}
         return out
 
 

@@ -262,7 +262,7 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> tuple[int, np
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (a hash of the text's words), fp, signature (a byte of each min-hash) and bands of each document."""
+    """doc_id, text_key, node (a hash of the text's words), fp, signature (a byte of each min-hash) and bands of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +285,15 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             offsets = np.arange(len(texts) + 1, dtype=np.int32)
             arrays = [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(np.array([x[0] for x in got], np.uint64).view(np.int64)),
                 pa.array(fps.view(np.int64)),
                 pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets * SIGNATURE), pa.py_buffer(np.ascontiguousarray(marks))]),
                 pa.ListArray.from_arrays(pa.array(offsets * bands.shape[1]), pa.array(bands.view(np.int64).ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "fp", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "signature", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, signature binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, signature binary, bands array<long>")
 
 
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -336,7 +337,7 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """doc_id and component_id: near-duplicates by the similarity of their word shingles.
+    """doc_id, component_id, text_key and root: near-duplicates by the similarity of their word shingles.
 
     64-bit fingerprints of pairs with a similarity of 0.8 differ in up to 16
     bits, too many to find by equal blocks. So here units of the trie join are
@@ -347,24 +348,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     found = materialise(signatures(docs, shingle), "signatures")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     roots = components(similar_links(nodes.drop("first"), similarity))
-    firsts = found.groupBy("node").agg(F.min("doc_id").alias("first"))
-    smallest = firsts.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(smallest, "root").select("node", "component_id")
-    named = firsts.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return found.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    firsts = found.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
+    firsts = firsts.select("node", "first", F.coalesce("root", "node").alias("root"))
+    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = firsts.select("node", "root").join(smallest, "root")
+    return found.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "component_id", "text_key", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """Documents with one of each group of near-duplicates: that with the smallest doc_id.
 
-    Rows that repeat a doc_id stay once; of rows without one, those whose
-    group has no key at all stay.
+    Rows without a doc_id come after those with one. Of rows that repeat a
+    doc_id the one whose text has the smaller hash comes first, and of rows
+    that are equal in both one stays.
     """
     groups = similar_groups(docs, shingle, similarity)
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    repeated = chosen.where("count > 1").select("doc_id")
-    kept = docs.join(chosen.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = repeated.select(F.col("doc_id").alias("_id"))
-    single = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    first = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(first).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    chosen = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
+    twice = groups.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_of_text") == F.col("_text"))
+    kept = docs.withColumn("_key_of_text", F.xxhash64("text")).join(chosen, same, "left_semi")
+    once = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_key_of_text"]))
+    return once.select(*docs.columns)

@@ -29,7 +29,7 @@ from .substring import Hashes, rolled
 
 SEED_WORDS = 4
 #: A seed is rare if the logarithms of its words' inverse document shares sum up to this at least.
-RARE = 4.0
+RARE = 2.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy of the item.
 THRESHOLD = 0.5

@@ -178,3 +178,19 @@ def repeats_itself(text: Column, length: int = 2, tolerance: int = 10) -> Column
     grams = F.when(n > tolerance, F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(length)))))
     far = F.slice(grams, tolerance + 1, F.greatest(F.size(grams) - tolerance, F.lit(0)))
     return F.coalesce(F.exists(F.zip_with(far, F.slice(grams, 1, F.greatest(F.size(grams) - tolerance, F.lit(0))), lambda a, b: a == b), lambda x: x), F.lit(False))
+
+
+def chunks_within(text: Column, most: int) -> Column:
+    """Sentences put together while they have ``most`` bytes at most; an ASCII ending gets a blank after it."""
+    sentence = F.filter(F.split(text, r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])"), lambda s: s != "")
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(state: Column, s: Column) -> Column:
+        padded = F.when(F.octet_length(F.right(s, F.lit(1))) == 1, F.concat(s, F.lit(" "))).otherwise(s)
+        fits = F.octet_length(state["open"]) + F.octet_length(s) <= most
+        closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(F.trim(state["open"]))))
+        return F.struct(F.when(fits, state["done"]).otherwise(closed).alias("done"), F.when(fits, F.concat(state["open"], padded)).otherwise(padded).alias("open"))
+
+    end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.trim(s["open"]))))
+    got = F.aggregate(sentence, zero, add, end)
+    return F.when(F.size(got) > 0, got).otherwise(F.array(F.trim(text)))

@@ -174,7 +174,7 @@ def centred_smoothing(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round(F.when(F.col("n") == 1, F.col("value")).otherwise(F.avg(inner).over(near)), 6).alias("smooth"))
 
 
-@register("""SELECT user_id, k, round(a + (b - a) * ((k - x) / greatest(y - x, 1)), 6) AS value FROM (SELECT user_id, event_id AS x, lead(event_id, 1, event_id) OVER w AS y, value AS a, lead(value, 1, value) OVER w AS b, unnest(range(event_id, least(lead(event_id, 1, event_id + 1) OVER w, event_id + 5))) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
+@register("""SELECT user_id, k, a + (b - a) * ((k - x) / greatest(y - x, 1)) AS value FROM (SELECT user_id, event_id AS x, lead(event_id, 1, event_id) OVER w AS y, value AS a, lead(value, 1, value) OVER w AS b, unnest(range(event_id, least(lead(event_id, 1, event_id + 1) OVER w, event_id + 5))) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
 def interpolation(spark, sf_dir):
     """Gaps between two observations are filled on a line, up to 4 places."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -182,7 +182,7 @@ def interpolation(spark, sf_dir):
     stop = F.greatest(F.least(F.col("y") - 1, F.col("x") + 4), F.col("x"))
     filled = rows.select("*", F.explode(F.sequence("x", stop)).alias("k"))
     part = (F.col("k") - F.col("x")) / F.greatest(F.col("y") - F.col("x"), F.lit(1))
-    return filled.select("user_id", "k", F.round(F.col("a") + (F.col("b") - F.col("a")) * part, 6).alias("value"))
+    return filled.select("user_id", "k", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("value"))
 
 
 @register(f"WITH {_SQL_SEG} SELECT event_id, unnest(range(0, greatest(CAST(floor((stop - start) * 100) AS BIGINT) - 500, 0), 300)) AS start FROM seg")

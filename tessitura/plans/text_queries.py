@@ -13,7 +13,8 @@ from .tables import read
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", T.tokens_v6(T.clean_text(F.col("text"))).alias("tokens"))
-    return docs.select("doc_id", "lang", F.posexplode("tokens").alias("pos", "token"))
+    # outer, for the plain form is given a filter on the array's size, which would tokenise everything twice
+    return docs.select("doc_id", "lang", F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
 
 
 _SQL_TOKENS = f"SELECT doc_id, lang, unnest({sql.tokens_v6(sql.clean('text'))}) AS token FROM documents"

@@ -61,7 +61,7 @@ class Hashes(dict):
     """Word to its 64-bit hash; forgets all when it gets too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

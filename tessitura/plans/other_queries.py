@@ -161,3 +161,39 @@ def der_rates(spark, sf_dir):
     errors = F.col("missed") + F.col("false_alarm") + F.col("confused")
     rate = F.when(F.col("scored") > 0, F.round(100 * errors / F.col("scored"), 4)).when(errors > 0, F.lit(100.0)).otherwise(F.lit(0.0))
     return interval_queries.der_totals(spark, sf_dir).select("rec", rate.alias("der"))
+
+
+@register("SELECT doc_id FROM documents WHERE trim(regexp_replace(text, '[a-z]', '', 'g')) <> ''")
+def non_empty_output(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.trim(F.regexp_replace("text", "[a-z]", "")) != "").select("doc_id")
+
+
+@register("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_id % 7 <> 0 GROUP BY event_type")
+def nan_scores_dropped(spark, sf_dir):
+    score = F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return read(spark, sf_dir, "events").withColumn("score", score).where(~F.isnan("score")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS target FROM events")
+def trial_labels(spark, sf_dir):
+    """1 or target, 0 or nontarget; anything else is an error."""
+    written = F.element_at(F.array(*(F.lit(x) for x in ("1", "target", "0", "nontarget"))), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select("event_id", written.alias("label"))
+    target = F.when(F.col("label").isin("1", "target"), 1).when(F.col("label").isin("0", "nontarget"), 0).otherwise(F.raise_error(F.concat(F.lit("unknown label "), "label")).cast("int"))
+    return rows.select("event_id", target.alias("target"))
+
+
+@register("SELECT n_nationkey, unnest(['a', 'b', 'c']) AS test, unnest(['x', 'y', 'z']) AS ref FROM nation")
+def positional_pairs(spark, sf_dir):
+    pairs = F.arrays_zip(F.array(*(F.lit(x) for x in "abc")).alias("test"), F.array(*(F.lit(x) for x in "xyz")).alias("ref"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.inline(pairs).alias("test", "ref"))
+
+
+@register("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def speaker_join(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+
+
+@register("SELECT event_type, CAST(round(sum(value > 20)::DOUBLE / count(*), 6) AS DOUBLE) AS insertions, round(avg(abs(value)) / 100, 6) AS deletions FROM events GROUP BY event_type")
+def wer_breakdown(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.count_if(F.col("value") > 20) / F.count("*"), 6).alias("insertions"), F.round(F.avg(F.abs("value")) / 100, 6).alias("deletions"))

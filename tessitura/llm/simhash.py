@@ -244,8 +244,8 @@ WIDE_BUDGET = 16
 SIMILAR = 0.8
 #: The signature's estimate has a standard deviation of 0.037, so links are taken from so much lower on.
 MARGIN = 0.04
-#: Rows of a unit that are compared in one piece; a larger unit is cut, and so many of its rows are in each piece.
-PIECE, PIVOTS = 20_000, 500
+#: Rows of a piece; a larger unit is cut into pieces, and each pair of pieces is compared.
+PIECE = 20_000
 _FACTORS = np.random.default_rng(9).integers(1 << 60, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -302,11 +302,9 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     dealt = nodes.select("node", F.explode("bands").alias("unit"))
     shared = dealt.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1")
     pieces = F.ceil(F.col("n") / PIECE)
-    own = F.pmod(F.xxhash64("node"), pieces)
-    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS
-    every = F.when(pivot & (pieces > 1), F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array(own))
-    rows = dealt.join(shared, "unit").select("node", "unit", F.explode(every).alias("piece"))
-    rows = rows.select("node", F.xxhash64("unit", "piece").alias("unit")).join(nodes.select("node", "fp", "signature"), "node")
+    own = F.pmod(F.xxhash64("node", "unit"), pieces)
+    rows = dealt.join(shared, "unit").select("node", "unit", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
+    rows = rows.select("node", F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit")).join(nodes.select("node", "fp", "signature"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:

@@ -430,6 +430,36 @@ def test_near_copies_by_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
 
 
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def brute_groups(rows):
+    """The smallest key that pairs with a similarity of 0.8 lead to."""
+    low = {k: k for k, _ in rows}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if low[a] != low[b] and jaccard(x, y) >= 0.8:
+                old, new = max(low[a], low[b]), min(low[a], low[b])
+                low = {k: new if v == old else v for k, v in low.items()}
+    return low
+
+
+def similar(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_large_bands_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 1)
+    monkeypatch.setattr(simhash, "PIVOTS", 0, raising=False)
+    rng = np.random.default_rng(11)
+    chains = [[f"c{rng.integers(9999)}" for _ in range(200)] for _ in range(20)]
+    rows = [(c * 100 + k, " ".join(w[k * 10 : k * 10 + 150])) for c, w in enumerate(chains) for k in range(2 + c % 2)]
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 20 and similar(spark, rows) == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (501, 502)], "u long, v long")
     root = {r.node: r.root for r in components(edges).collect()}

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -33,8 +33,6 @@ BUDGET = 3
 LARGE_UNIT = 50_000
 #: Pairs of nodes that are traversed, and pairs of fingerprints compared, at once.
 FRONTIER, LEAF_PAIRS = 100_000, 1_000_000
-#: Pairs that are verified at once.
-VERIFIED = 50_000
 #: An odd factor turns fingerprints into node numbers in random order, one to one.
 SCATTER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,12 +88,10 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = deeper
 
 
-def trie_links(units: np.ndarray, values: np.ndarray, budget: int = BUDGET, verify=None) -> np.ndarray:
+def trie_links(units: np.ndarray, values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
     """Labels of fingerprints, given sorted by (unit, value): equal within a unit where links connect them.
 
     A node of the trie is a range of the sorted values with a common prefix.
-    ``verify``, given two arrays of places, tells which of the pairs within
-    the budget do link.
     """
     n = len(values)
     labels = np.arange(n)
@@ -127,15 +123,7 @@ def trie_links(units: np.ndarray, values: np.ndarray, budget: int = BUDGET, veri
             keep = (a < b) & (labels[a] != labels[b])
             a, b = a[keep], b[keep]
             near = np.bitwise_count(values[a] ^ values[b]) <= budget
-            a, b = a[near], b[near]
-            if verify is None:
-                _settle(labels, a, b)
-            else:  # by and by, so that what is linked already need not be compared
-                for k in range(0, len(a), VERIFIED):
-                    fresh = labels[a[k : k + VERIFIED]] != labels[b[k : k + VERIFIED]]
-                    x, y = a[k : k + VERIFIED][fresh], b[k : k + VERIFIED][fresh]
-                    good = verify(x, y)
-                    _settle(labels, x[good], y[good])
+            _settle(labels, a[near], b[near])
             at = stop
 
     stack = [(0, roots)]
@@ -242,10 +230,8 @@ SIGNATURE, BAND = 120, 6
 #: Fingerprints of five-word shingles differ in 16 bits at most for 99 of 100 pairs with a similarity of 0.8 to 0.9.
 WIDE_BUDGET = 16
 SIMILAR = 0.8
-#: The signature's estimate has a standard deviation of 0.037, so links are taken from so much lower on.
-MARGIN = 0.04
-#: Rows of a piece; a larger unit is cut into pieces, and each pair of pieces is compared.
-PIECE = 20_000
+#: Nodes of a piece and shingles in it; and nodes of a larger group that are in each of its pieces, about.
+PIECE, PIECE_SHINGLES, PIVOTS = 20_000, 2_000_000, 500
 _FACTORS = np.random.default_rng(9).integers(1 << 60, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -262,7 +248,7 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> tuple[int, np
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the text's words), fp, signature (a byte of each min-hash) and bands of each document."""
+    """doc_id, text_key, node (a hash of the text's words), fp, size (distinct shingles) and bands of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,80 +258,172 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             values = np.concatenate([x[1] for x in got])
             sizes = np.array([len(x[1]) for x in got])
             starts = np.cumsum(sizes) - sizes
-            low = np.stack([np.minimum.reduceat(values * f, starts) for f in _FACTORS], axis=1)
             bits = np.empty((len(texts), 64), np.int64)
             for k in range(64):
                 bits[:, k] = np.add.reduceat((values >> np.uint64(k)) & np.uint64(1), starts)
             fps = np.packbits(bits * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
             bands = np.zeros((len(texts), SIGNATURE // BAND), np.uint64)
-            for k in range(SIGNATURE):
+            for k, factor in enumerate(_FACTORS):
                 at = k // BAND
-                bands[:, at] = (bands[:, at] ^ low[:, k]) * SCATTER + np.uint64(at)
-            marks = (low >> np.uint64(56)).astype(np.uint8)
+                bands[:, at] = (bands[:, at] ^ np.minimum.reduceat(values * factor, starts)) * SCATTER + np.uint64(at)
             offsets = np.arange(len(texts) + 1, dtype=np.int32)
             arrays = [
                 batch.column("doc_id"),
                 batch.column("text_key"),
                 pa.array(np.array([x[0] for x in got], np.uint64).view(np.int64)),
                 pa.array(fps.view(np.int64)),
-                pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets * SIGNATURE), pa.py_buffer(np.ascontiguousarray(marks))]),
+                pa.array([len(np.unique(x[1])) for x in got], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets * bands.shape[1]), pa.array(bands.view(np.int64).ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "size", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, signature binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, size long, bands array<long>")
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links u, v between nodes whose signatures agree on ``similarity``, as a forest by unit."""
-    least = int(np.ceil((similarity - MARGIN) * SIGNATURE))
-    dealt = nodes.select("node", F.explode("bands").alias("unit"))
-    shared = dealt.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1")
-    pieces = F.ceil(F.col("n") / PIECE)
-    own = F.pmod(F.xxhash64("node", "unit"), pieces)
-    rows = dealt.join(shared, "unit").select("node", "unit", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
-    rows = rows.select("node", F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit")).join(nodes.select("node", "fp", "signature"), "node")
+def exact_labels(sets: list[np.ndarray], fps: np.ndarray, groups: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of sets of hashes: equal where equal groups or pairs with a Jaccard similarity of ``similarity`` connect them.
+
+    One set after the other is compared with all that it isn't connected to,
+    until the sets that weren't yet are all connected.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    labels = np.unique(groups, return_inverse=True)[1]
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    marks = np.zeros(int(values.max()) + 1, bool)
+    left, waits, own, at = np.arange(len(sets)), np.ones(len(sets), bool), values, starts
+    while True:
+        among = labels[left]
+        count = np.bincount(among[waits])
+        most = int(count.argmax()) if len(count) else 0
+        others = np.flatnonzero(waits & (among != most))
+        if not len(others):
+            return labels
+        place = int(others[0])
+        node = int(left[place])
+        mine = values[starts[node] : starts[node] + sizes[node]]
+        marks[mine] = True
+        shared = np.add.reduceat(marks[own], at, dtype=np.int64)
+        marks[mine] = False
+        near = shared >= similarity * (sizes[node] + sizes[left] - shared) - 1e-9
+        near &= np.bitwise_count(fps[left] ^ fps[node]) <= WIDE_BUDGET
+        hit = np.unique(among[near])
+        if len(hit) > 1:
+            labels[np.isin(labels, hit)] = hit[0]
+        waits[place] = False
+        if waits.sum() * 2 < len(left):
+            left = left[waits]
+            waits = np.ones(len(left), bool)
+            own = np.concatenate([values[starts[k] : starts[k] + sizes[k]] for k in left]) if len(left) else values[:0]
+            at = np.cumsum(sizes[left]) - sizes[left]
+
+
+def exact_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links u, v between the nodes of a unit, as a forest by unit.
+
+    ``rows`` has unit, node, group (nodes of a group are connected already),
+    fp, and doc_id and text_key of a row of ``docs`` with the node's text.
+    """
+    wanted = rows.select("unit", "node", "group", "fp", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    # merged at every size: these rows grow with the input, so a broadcast would only do for small ones
+    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> pa.RecordBatch:
-            units, node, values = (table[x].to_numpy() for x in ("unit", "node", "fp"))
-            marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            order = np.lexsort((values.view(np.uint64), units))
-            units, node, values, marks = units[order], node[order], values[order].view(np.uint64), marks[order]
-            labels = trie_links(units, values, WIDE_BUDGET, lambda a, b: (marks[a] == marks[b]).sum(axis=1) >= least)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["u", "v"])
+        def out(held: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+            nodes = np.array(list(held), np.int64)
+            sets, groups, fps = zip(*held.values(), strict=True)
+            labels = exact_labels(list(sets), np.array(fps, np.int64).view(np.uint64), np.array(groups, np.int64), similarity)
+            _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+            linked = np.flatnonzero(first[inverse] != np.arange(len(nodes)))
+            return nodes[linked], nodes[first[inverse[linked]]]
+
+        current, held = None, {}
+        for batch in slices(batches, "text"):
+            done = []
+            columns = [batch.column(x).to_pylist() for x in ("unit", "node", "group", "fp")]
+            for unit, node, group, fp, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if unit != current:
+                    if len(held) > 1:
+                        done.append(out(held))
+                    current, held = unit, {}
+                if node not in held:  # rows may repeat
+                    held[node] = (np.unique(shingle_hashes(text or b"", shingle)[1]), group, fp)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=["u", "v"])
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out(held)], names=["u", "v"])
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 100_000:
-                table = pa.Table.from_batches(held)
-                units = table["unit"].to_numpy()
-                cut = int(np.searchsorted(units, units[-1]))
-                if cut:
-                    yield out(table.slice(0, cut))
-                    held, size = table.slice(cut).to_batches(), len(units) - cut
-        if size:
-            yield out(pa.Table.from_batches(held))
+    return found.select("unit", "node", "group", "fp", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+
+
+def _pieces(n: Column, weight: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(n / PIECE), F.ceil(weight / PIECE_SHINGLES))
+
+
+def _numbers(n: Column) -> Column:
+    """0 to n - 1; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+
+def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: equal roots for nodes that pairs with the similarity connect.
+
+    Nodes that bands connect form a group. A group of one piece is compared as
+    a whole. In a larger one, pieces are compared first, with some pivots in
+    each; then, of each band, all pairs that aren't connected yet: nodes
+    outside the band's largest component with each other and with those in it,
+    each pair of pieces by itself. So no pair that shares a band is left out.
+    """
+    source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("source")
+    nodes = found.groupBy("node").agg(source, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select("node", "source.doc_id", "source.text_key", "fp", "size", "bands"), "nodes")
+    dealt = nodes.select("node", F.explode("bands").alias("band"))
+    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    coarse = components(dealt.join(shared, "band").select(F.col("least").alias("u"), F.col("node").alias("v")))
+    placed = nodes.drop("bands").join(coarse, "node")
+    groups = placed.groupBy("root").agg(F.count("*").alias("n"), _pieces(F.count("*"), F.sum("size")).alias("pieces"))
+    groups = materialise(groups, "groups")
+    own = F.pmod(F.xxhash64("node"), F.col("pieces"))
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS
+    every = F.when(pivot & (F.col("pieces") > 1), _numbers(F.col("pieces"))).otherwise(F.array(own))
+    rows = placed.join(groups, "root").select("*", F.explode(every).alias("piece")).withColumn("unit", F.xxhash64("root", "piece")).withColumn("group", F.col("node"))
+    edges = exact_links(docs, rows, shingle, similarity)
+    large = groups.where("pieces > 1").select("root")
+    if large.isEmpty():
+        return components(edges)
+    edges = materialise(edges, "links")
+    fine = components(edges).withColumnRenamed("root", "group")
+    open_ = placed.join(large, "root", "left_semi").drop("root").join(fine, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    open_ = materialise(open_.join(dealt, "node"), "open")
+    parts = open_.groupBy("band", "group").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    top = F.max(F.struct("n", "weight", F.col("group").alias("top"))).alias("most")
+    bands = parts.groupBy("band").agg(top, F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("weight").alias("weight")).where("k > 1")
+    bands = bands.select(
+        "band", "most.top", _pieces(F.col("most.n"), F.col("most.weight")).alias("inside"), _pieces(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("outside")
+    )
+    hashed = F.xxhash64("node", "band")
+    own = F.pmod(hashed, F.col("outside"))
+    among = F.transform(_numbers(F.col("outside")), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
+    across = F.transform(_numbers(F.col("inside")), lambda k: F.struct(own.alias("a"), (F.col("outside") + k).alias("b")))
+    held = F.transform(_numbers(F.col("outside")), lambda k: F.struct(k.alias("a"), (F.col("outside") + F.pmod(hashed, F.col("inside"))).alias("b")))
+    pair = F.explode(F.when(F.col("group") == F.col("top"), held).otherwise(F.concat(among, across))).alias("pair")
+    rest = open_.join(bands, "band").select("*", pair).withColumn("unit", F.xxhash64("band", "pair.a", "pair.b"))
+    return components(edges.unionByName(exact_links(docs, rest, shingle, similarity)))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """doc_id, component_id, text_key and root: near-duplicates by the similarity of their word shingles.
 
     64-bit fingerprints of pairs with a similarity of 0.8 differ in up to 16
-    bits, too many to find by equal blocks. So here units of the trie join are
-    the bands of a min-hash signature, and a pair within the wide budget links
-    if its signatures agree. Texts with equal words in lower case are one
-    node. Nulls, repeats and empty tables are treated as in near_duplicates.
+    bits, too many to find by equal blocks. So here candidates are pairs that
+    share a band of a min-hash signature, and one within the wide budget links
+    if the Jaccard similarity of its shingles is ``similarity`` or more. Texts
+    with equal words in lower case are one node. Nulls, repeats and empty
+    tables are treated as in near_duplicates.
     """
     found = materialise(signatures(docs, shingle), "signatures")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    roots = components(similar_links(nodes.drop("first"), similarity))
+    roots = similar_roots(docs, found, shingle, similarity)
     firsts = found.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
     firsts = firsts.select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -460,6 +460,28 @@ def test_large_bands_lose_no_pair(spark, monkeypatch):
     assert len(set(want.values())) == 20 and similar(spark, rows) == want
 
 
+def test_long_texts_link_by_exact_similarity(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(40):
+        words = [f"l{rng.integers(10**6)}" for _ in range(1504)]
+        kept = (1125, 1230, 1320, 1450)[k % 4]  # similarities of 0.6, 0.69, just under 0.8, and 0.93
+        rows += [(k, " ".join(words)), (100 + k, " ".join(words[:kept] + [f"m{rng.integers(10**6)}" for _ in range(1504 - kept)]))]
+    assert similar(spark, rows) == {k: k % 100 if k % 4 == 3 else k for k, _ in rows}
+
+
+def test_groups_of_many_pieces_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = [f"t{k}" for k in range(100)]
+    rows = [(k, " ".join(base + [f"x{k % 30}y{j}" if j < 40 else f"z{rng.integers(9)}" for j in range(30 + k % 25)])) for k in range(90)]
+    want = brute_groups(rows)
+    assert 5 < len(set(want.values())) < 80
+    for piece, pivots in ((7, 2), (3, 0)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "PIVOTS", pivots)
+        assert similar(spark, rows) == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (501, 502)], "u long, v long")
     root = {r.node: r.root for r in components(edges).collect()}

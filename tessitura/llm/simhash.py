@@ -227,8 +227,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 #: Min-hashes of a signature, and how many of them make a band. A pair with a similarity of 0.8 shares
 #: a band with a probability of 0.997.
 SIGNATURE, BAND = 120, 6
-#: Fingerprints of five-word shingles differ in 16 bits at most for 99 of 100 pairs with a similarity of 0.8 to 0.9.
-WIDE_BUDGET = 16
 SIMILAR = 0.8
 #: Nodes of a piece and shingles in it; and nodes of a larger group that are in each of its pieces, about.
 PIECE, PIECE_SHINGLES, PIVOTS = 20_000, 2_000_000, 500
@@ -248,7 +246,7 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> tuple[int, np
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the text's words), fp, size (distinct shingles) and bands of each document."""
+    """doc_id, text_key, node (a hash of the text's words), size (distinct shingles) and bands of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +256,6 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             values = np.concatenate([x[1] for x in got])
             sizes = np.array([len(x[1]) for x in got])
             starts = np.cumsum(sizes) - sizes
-            bits = np.empty((len(texts), 64), np.int64)
-            for k in range(64):
-                bits[:, k] = np.add.reduceat((values >> np.uint64(k)) & np.uint64(1), starts)
-            fps = np.packbits(bits * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
             bands = np.zeros((len(texts), SIGNATURE // BAND), np.uint64)
             for k, factor in enumerate(_FACTORS):
                 at = k // BAND
@@ -271,16 +265,15 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 batch.column("doc_id"),
                 batch.column("text_key"),
                 pa.array(np.array([x[0] for x in got], np.uint64).view(np.int64)),
-                pa.array(fps.view(np.int64)),
                 pa.array([len(np.unique(x[1])) for x in got], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets * bands.shape[1]), pa.array(bands.view(np.int64).ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "size", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, size long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, bands array<long>")
 
 
-def exact_labels(sets: list[np.ndarray], fps: np.ndarray, groups: np.ndarray, similarity: float) -> np.ndarray:
+def exact_labels(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> np.ndarray:
     """Labels of sets of hashes: equal where equal groups or pairs with a Jaccard similarity of ``similarity`` connect them.
 
     One set after the other is compared with all that it isn't connected to,
@@ -306,7 +299,6 @@ def exact_labels(sets: list[np.ndarray], fps: np.ndarray, groups: np.ndarray, si
         shared = np.add.reduceat(marks[own], at, dtype=np.int64)
         marks[mine] = False
         near = shared >= similarity * (sizes[node] + sizes[left] - shared) - 1e-9
-        near &= np.bitwise_count(fps[left] ^ fps[node]) <= WIDE_BUDGET
         hit = np.unique(among[near])
         if len(hit) > 1:
             labels[np.isin(labels, hit)] = hit[0]
@@ -322,9 +314,9 @@ def exact_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     """Links u, v between the nodes of a unit, as a forest by unit.
 
     ``rows`` has unit, node, group (nodes of a group are connected already),
-    fp, and doc_id and text_key of a row of ``docs`` with the node's text.
+    and doc_id and text_key of a row of ``docs`` with the node's text.
     """
-    wanted = rows.select("unit", "node", "group", "fp", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    wanted = rows.select("unit", "node", "group", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     # merged at every size: these rows grow with the input, so a broadcast would only do for small ones
     found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))
@@ -332,8 +324,8 @@ def exact_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
             nodes = np.array(list(held), np.int64)
-            sets, groups, fps = zip(*held.values(), strict=True)
-            labels = exact_labels(list(sets), np.array(fps, np.int64).view(np.uint64), np.array(groups, np.int64), similarity)
+            sets, groups = zip(*held.values(), strict=True)
+            labels = exact_labels(list(sets), np.array(groups, np.int64), similarity)
             _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
             linked = np.flatnonzero(first[inverse] != np.arange(len(nodes)))
             return nodes[linked], nodes[first[inverse[linked]]]
@@ -341,20 +333,20 @@ def exact_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
         current, held = None, {}
         for batch in slices(batches, "text"):
             done = []
-            columns = [batch.column(x).to_pylist() for x in ("unit", "node", "group", "fp")]
-            for unit, node, group, fp, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            columns = [batch.column(x).to_pylist() for x in ("unit", "node", "group")]
+            for unit, node, group, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if unit != current:
                     if len(held) > 1:
                         done.append(out(held))
                     current, held = unit, {}
                 if node not in held:  # rows may repeat
-                    held[node] = (np.unique(shingle_hashes(text or b"", shingle)[1]), group, fp)
+                    held[node] = (np.unique(shingle_hashes(text or b"", shingle)[1]), group)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names=["u", "v"])
         if len(held) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out(held)], names=["u", "v"])
 
-    return found.select("unit", "node", "group", "fp", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+    return found.select("unit", "node", "group", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
 
 
 def _pieces(n: Column, weight: Column) -> Column:
@@ -376,8 +368,8 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     each pair of pieces by itself. So no pair that shares a band is left out.
     """
     source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("source")
-    nodes = found.groupBy("node").agg(source, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes.select("node", "source.doc_id", "source.text_key", "fp", "size", "bands"), "nodes")
+    nodes = found.groupBy("node").agg(source, F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select("node", "source.doc_id", "source.text_key", "size", "bands"), "nodes")
     dealt = nodes.select("node", F.explode("bands").alias("band"))
     shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     coarse = components(dealt.join(shared, "band").select(F.col("least").alias("u"), F.col("node").alias("v")))
@@ -417,10 +409,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
 
     64-bit fingerprints of pairs with a similarity of 0.8 differ in up to 16
     bits, too many to find by equal blocks. So here candidates are pairs that
-    share a band of a min-hash signature, and one within the wide budget links
-    if the Jaccard similarity of its shingles is ``similarity`` or more. Texts
-    with equal words in lower case are one node. Nulls, repeats and empty
-    tables are treated as in near_duplicates.
+    share a band of a min-hash signature, and one links if the Jaccard
+    similarity of its sets of shingles is ``similarity`` or more. Texts with
+    equal words in lower case are one node. Nulls, repeats and empty tables
+    are treated as in near_duplicates.
     """
     found = materialise(signatures(docs, shingle), "signatures")
     roots = similar_roots(docs, found, shingle, similarity)

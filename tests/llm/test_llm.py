@@ -482,6 +482,16 @@ def test_groups_of_many_pieces_equal_brute_force(spark, monkeypatch):
         assert similar(spark, rows) == want
 
 
+def test_similar_sets_link_whatever_their_fingerprints(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(15):
+        words = [f"r{rng.integers(10**6)}" for _ in range(304)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join(words[:150] + words[150:160] * 100 + words[160:]))]  # one line again and again
+    want = brute_groups(rows)
+    assert want == {k: k % 100 for k, _ in rows} and similar(spark, rows) == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (501, 502)], "u long, v long")
     root = {r.node: r.root for r in components(edges).collect()}

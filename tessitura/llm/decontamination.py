@@ -1,12 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Runs of ``SEED_WORDS`` words of the test items are seeds. One pass over the
-documents finds where they occur, keeps the words around, and counts in how
-many documents each word of the benchmark occurs. A seed is rare if its words
-make it unlikely by chance, or if it belongs to the rarer half of its item's
-seeds, so that every item keeps seeds however often it was copied. Where a
-document has a rare seed of an item, item and surroundings are aligned by
-words, so edited copies score too.
+documents finds where they occur and keeps the words around. Unless those have
+too few words of the item to reach the threshold in any order, item and
+surroundings are aligned by words, so edited copies score too. How common a
+seed is doesn't matter.
 
 The benchmark's words travel to the tasks with the code. That is bounded by
 ``BLOCK_WORDS``: a larger benchmark is scanned in blocks of items.
@@ -28,8 +26,6 @@ from .common import materialise, numbers, slices
 from .substring import Hashes, rolled
 
 SEED_WORDS = 4
-#: A seed is rare if the logarithms of its words' inverse document shares sum up to this at least.
-RARE = 2.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy of the item.
 THRESHOLD = 0.5
@@ -90,8 +86,8 @@ class Items:
         every = np.concatenate([np.zeros(0, np.uint64), *seeds])
         order = np.argsort(every, kind="stable")
         self.every, self.owners, self.offsets = every[order], np.array(owners, np.int64)[order], np.array(offsets, np.int64)[order]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
-        self.seed_bits, self.word_bits = self._bits(self.every), self._bits(self.vocabulary)
+        self.seed_bits = self._bits(self.every)
+        self.counted = [np.unique(words, return_counts=True) for words in self.words]
 
     @staticmethod
     def _bits(values: np.ndarray) -> np.ndarray:
@@ -99,26 +95,20 @@ class Items:
         bits[values >> np.uint64(44)] = True
         return bits
 
-    def rare(self, shares: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset) of the rare seeds, given the share of documents that have each word of the vocabulary."""
-        out = set()
-        for k, words in enumerate(self.words):
-            n = len(words) - SEED_WORDS + 1
-            if n < 1:
-                continue
-            surprise = -np.log(np.maximum(shares[np.searchsorted(self.vocabulary, words)], 1e-12))
-            sums = np.convolve(surprise, np.ones(SEED_WORDS), "valid")
-            middle = np.sort(sums)[n // 2]
-            out |= {(k, int(j)) for j in np.flatnonzero((sums >= RARE) | (sums >= middle - 1e-9))}
-        return out
+    def bound(self, item: int, words: np.ndarray) -> int:
+        """No alignment of the item with these words scores more: each of its words that they have is a match."""
+        own, need = self.counted[item]
+        found, has = np.unique(words, return_counts=True)
+        at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+        return MATCH * int(np.minimum(need, np.where(found[at] == own, has[at], 0)).sum())
 
 
 def scan(docs: DataFrame, items: Items) -> DataFrame:
-    """Where items' seeds occur, and in how many documents the items' words do.
+    """Where items' seeds occur.
 
-    Rows with an ``item`` (its number) have the hashes of the document's words
+    Rows have an ``item`` (its number), the hashes of the document's words
     around, from word ``start`` on, and the seeds found (their offsets in the
-    item). Rows without have a word's number in ``start`` and a count in ``n``.
+    item).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     every, first = np.unique(items.every, return_index=True)
@@ -132,12 +122,7 @@ def scan(docs: DataFrame, items: Items) -> DataFrame:
             del texts
             begins = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            own = np.flatnonzero(items.word_bits[words >> np.uint64(44)])
-            number = np.searchsorted(items.vocabulary, words[own])
-            exact = items.vocabulary[np.minimum(number, len(items.vocabulary) - 1)] == words[own] if len(items.vocabulary) else np.zeros(0, bool)
-            pairs = np.unique(owner[own[exact]] * len(items.vocabulary) + number[exact])
-            found, count = np.unique(pairs % max(1, len(items.vocabulary)), return_counts=True)
-            rows: list[tuple] = [(None, None, w, None, None, c) for w, c in zip(found.tolist(), count.tolist(), strict=True)]
+            rows: list[tuple] = []
             keys = numbers(batch, "doc_id")
             grams = rolled(words, SEED_WORDS)[0]
             at = np.flatnonzero(items.seed_bits[grams >> np.uint64(44)])
@@ -158,31 +143,31 @@ def scan(docs: DataFrame, items: Items) -> DataFrame:
                     if place is not None:
                         a, b = max(low, place - offset - slack), min(high, place - offset + size + slack)
                     if start >= 0 and (place is None or a > stop):
-                        rows.append((keys[doc], item, start - low, words[start:stop].tobytes(), sorted(seeds), 0))
+                        rows.append((keys[doc], item, start - low, words[start:stop].tobytes(), sorted(seeds)))
                         start, seeds = -1, set()
                     if place is not None:
                         start, stop = (a if start < 0 else min(a, start)), max(b, stop if start >= 0 else b)
                         seeds.add(offset)
             if rows:
                 got = list(zip(*rows, strict=True))
-                types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(got, types, strict=True)], names=["doc_id", "item", "start", "words", "seeds", "n"])
+                types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(got, types, strict=True)], names=["doc_id", "item", "start", "words", "seeds"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item int, start long, words binary, seeds array<int>, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item int, start long, words binary, seeds array<int>")
 
 
-def aligned(found: DataFrame, items: Items, rare: set[tuple[int, int]], id_type: str, threshold: float) -> DataFrame:
-    """Aligns items with the places that have a rare seed of theirs; keeps scores of ``threshold`` or more."""
+def aligned(found: DataFrame, items: Items, id_type: str, threshold: float) -> DataFrame:
+    """Aligns items with the places that have a seed of theirs; keeps scores of ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kind = [], batch.schema.field("doc_id").type
             columns = [numbers(batch, x) for x in ("doc_id", "item", "start", "words", "seeds")]
             for doc, item, start, words, seeds in zip(*columns, strict=True):
-                if not any((item, s) in rare for s in seeds):
+                own, around = items.words[item], np.frombuffer(words, np.uint64)
+                if items.bound(item, around) < threshold * MATCH * len(own):
                     continue
-                own = items.words[item]
-                score, a, b = align(own, np.frombuffer(words, np.uint64))
+                score, a, b = align(own, around)
                 share = score / (MATCH * len(own))
                 if share >= threshold:
                     rows.append((doc, items.ids[item], round(share, 6), start + a, start + b, len(seeds)))
@@ -194,7 +179,7 @@ def aligned(found: DataFrame, items: Items, rare: set[tuple[int, int]], id_type:
 
     kind = found.schema["doc_id"].dataType.simpleString()
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # alignments cost more than their bytes show
-    spread = found.where("item IS NOT NULL").repartition(tasks, "doc_id", "item", "start")
+    spread = found.repartition(tasks, "doc_id", "item", "start")
     return spread.mapInArrow(run, f"doc_id {kind}, item_id {id_type}, score double, start long, stop long, n_seeds long")
 
 
@@ -214,16 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     sized = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(total / (4 * BLOCK_WORDS)))
-    count = docs.count()
     parts = []
     for block in range(blocks):
         own = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else sized
         items = Items(sorted(tuple(r) for r in own.collect()))
         found = materialise(scan(docs, items), "decontamination")
-        shares = np.zeros(len(items.vocabulary))
-        for r in found.where("item IS NULL").groupBy("start").agg(F.sum("n").alias("n")).collect():
-            shares[r["start"]] = r["n"] / max(1, count)
-        parts.append(aligned(found, items, items.rare(shares), kind, threshold))
+        parts.append(aligned(found, items, kind, threshold))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -335,6 +335,17 @@ def test_edited_copies_are_found(spark):
     assert decontamination.contaminated(docs.where("false"), bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_passages_of_most_documents_are_found(spark, percent):
+    item = [f"q{k}" for k in range(8)]
+    rows = [(k, " ".join([f"a{k}", *(item if k < percent else item[3::-1]), f"b{k}"])) for k in range(100)]
+    rows += [(200 + k, " ".join([*item[:k], "changed", *item[k + 1 :]])) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {**dict.fromkeys(range(percent), 1.0), 200: 0.875, **dict.fromkeys(range(201, 207), 0.8125), 207: 0.875}
+
+
 def test_alignment_equals_the_table_method():
     rng = np.random.default_rng(6)
     for _ in range(200):

@@ -165,6 +165,17 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert {r.score for r in toxicity.score(odd, labels.where("false")).collect()} == {0.0}
 
 
+def test_small_blocks_lose_no_ngram(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = [(k, " ".join(f"w{rng.integers(40)}" for _ in range(12)) + (f" vile{rng.integers(20)}" if k % 3 == 0 else "")) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    whole = {r.doc_id: (r.passage, r.whole) for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "SLOTS", 200)
+    monkeypatch.setattr(toxicity, "CONTEXT_SLOTS", 100)
+    assert {r.doc_id: (r.passage, r.whole) for r in toxicity.score(docs, labels).collect()} == whole
+
+
 def test_backoff_sums_to_one(spark):
     types = toxicity.counts(spark.createDataFrame([("abracadabra", 1), ("a bra", 0)], "text string, toxic int"))
     low = toxicity.backoff(types).where((F.shiftright("key", 8) == int.from_bytes(b"bra", "big"))).collect()

@@ -66,32 +66,45 @@ def average_link(rows: np.ndarray, cut: float = 0.2) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def _sums(index: np.ndarray, count: int, rows: np.ndarray) -> np.ndarray:
+    """The sum of each cluster's rows; its cosines are those of the mean."""
+    total = np.zeros((count, rows.shape[1]))
+    np.add.at(total, index, rows)
+    return total
+
+
 def absorb_small(labels: np.ndarray, rows: np.ndarray, least: int = 4) -> np.ndarray:
-    """Rows of small clusters go to the nearest large one; without a large one all get 0."""
-    names, sizes = np.unique(labels, return_counts=True)
-    large = names[sizes >= least]
-    if len(large) == len(names):
-        return labels
-    if not len(large):
+    """Rows of clusters under ``least`` rows go to the most similar of the others; if there is no other, all rows get 0."""
+    names, index, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    stays = sizes >= least
+    if not stays.any():
         return np.zeros_like(labels)
-    centres = np.stack([rows[labels == c].mean(0) for c in large])
-    small = ~np.isin(labels, large)
-    out = labels.copy()
-    out[small] = large[cosines(rows[small], centres).argmax(1)]
-    return out
+    similar = np.where(stays, cosines(rows, _sums(index, len(names), rows)), -np.inf)
+    return names[np.where(stays[index], index, similar.argmax(axis=1))]
 
 
 def merge_similar(labels: np.ndarray, rows: np.ndarray, cut: float) -> np.ndarray:
-    """Joins the clusters with the most similar centres while they are similar enough."""
-    labels = labels.copy()
-    while len(names := np.unique(labels)) > 1:
-        centres = np.stack([rows[labels == c].mean(0) for c in names])
-        similar = np.triu(cosines(centres, centres), 1)
-        i, j = np.unravel_index(int(similar.argmax()), similar.shape)
-        if similar[i, j] < cut:
-            break
-        labels[labels == names[j]] = names[i]
-    return labels
+    """Joins clusters, the most similar two first, while the cosine of their means is ``cut`` or more.
+
+    Only sums are kept: a joined cluster's sum is that of both, and just its
+    own row of the similarities changes.
+    """
+    if not 0 < cut <= 1:
+        raise ValueError("the cosine from which clusters are joined must lie above 0 and be 1 at most")
+    names, index = np.unique(labels, return_inverse=True)
+    total = _sums(index, len(names), rows)
+    parent = np.arange(len(names))
+    similar = cosines(total, total)
+    similar[np.tril_indices(len(names))] = -np.inf
+    while similar.size and similar.max() >= cut:
+        low, high = divmod(int(similar.argmax()), len(names))
+        total[low] += total[high]
+        parent[parent == high] = low
+        similar[high], similar[:, high] = -np.inf, -np.inf
+        again = cosines(total[low : low + 1], total)[0]
+        again[[k for k in range(len(names)) if parent[k] != k or k == low]] = -np.inf
+        similar[low, low + 1 :], similar[:low, low] = again[low + 1 :], again[:low]
+    return names[parent][index]
 
 
 METHODS = {"spectral": spectral, "average_link": average_link}
@@ -117,15 +130,18 @@ def cluster(rows: DataFrame, group: str, key: str, vector: str, method: str = "s
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, cut: float, keep: int = -1, candidates: int = 200) -> list[int]:
-    """Greedy non-maximum suppression over (left, top, right, bottom): places that stay, best first."""
-    order = np.argsort(-scores, kind="stable")[:candidates].tolist()
-    out: list[int] = []
-    while order and (keep <= 0 or len(out) < keep):
-        best = order.pop(0)
-        out.append(best)
-        a = boxes[best]
-        rest = boxes[order]
-        both = np.maximum(np.minimum(a[2:], rest[:, 2:]) - np.maximum(a[:2], rest[:, :2]), 0).prod(1) if order else np.zeros(0)
-        area = lambda b: np.maximum(b[..., 2:] - b[..., :2], 0).prod(-1)
-        order = [k for k, o in zip(order, both / (area(a) + area(rest) - both + 1e-5), strict=True) if o <= cut] if order else []
-    return out
+    """Non-maximum suppression over (left, top, right, bottom): places that stay, best first.
+
+    Of the ``candidates`` boxes with the highest scores one stays unless it
+    shares more than ``cut`` with a better one that stays. ``keep`` limits the
+    result (0 or less: no limit).
+    """
+    order = np.argsort(-scores, kind="stable")[:candidates]
+    low, high = boxes[order, None, :2], boxes[order, None, 2:]
+    shared = np.maximum(np.minimum(high, high.swapaxes(0, 1)) - np.maximum(low, low.swapaxes(0, 1)), 0).prod(axis=2)
+    area = np.diag(shared)
+    covers = np.triu(shared / (area[:, None] + area - shared + 1e-5) > cut, 1)
+    stays = np.ones(len(order), bool)
+    for place in range(len(order)):
+        stays &= ~covers[place] | ~stays[place]
+    return order[stays][: keep if keep > 0 else None].tolist()

@@ -23,17 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that were handed out and not released yet, by Spark application.
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for ``purpose`` that the driver and all executors see.
 
-    It lies in the folder of ``spark.checkpoint.dir``. Only where that is
-    unset, as in local tests, a local folder is set instead.
+    It lies in the folder of ``spark.checkpoint.dir``. Only in local mode,
+    where driver and executors are one process, may that be unset: then a local
+    folder is set instead. On a cluster it would not be shared, so there an
+    unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/tessitura"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessitura-{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessitura-{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders handed out so far that weren't released."""
+    return list(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders of ``shared_dir`` that nothing reads any more."""
+    known = _made.get(spark.sparkContext.applicationId, [])
+    for path in list(paths):
+        if path in known:
+            known.remove(path)
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def materialise(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
@@ -48,6 +73,15 @@ def materialise(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as ``row``, with ``id`` (its doc_id) and ``text_key`` (a hash of its text, null for null).
+
+    As the row's own columns are inside ``row``, whatever they are called, no
+    name can clash with those that an operator adds or joins.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_key"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each.
 

@@ -38,16 +38,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
-    return chat.digests(turns.unionByName(added))
+    return chat.digests(chat.conversations(turns.unionByName(added)))
 
 
-def _replaced(column: str, escapes) -> str:
-    for plain, code in escapes:
-        column = f"replace({column}, '{plain}', '{code}')"
-    return column
-
-
-ORACLES["op7_chat"] = f"""
+# The escapes are written out here, apart from the operator's own table.
+ORACLES["op7_chat"] = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
@@ -56,7 +51,8 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_examples,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    CAST(sum(length({_replaced("role", chat.ROLE_ESCAPES)}) + length({_replaced("text", chat.ESCAPES)}) + 14) AS BIGINT) AS formatted_chars
+    CAST(sum(length('### ' || replace(replace(replace(replace(role, '\\', '\\b'), '</turn>', '\\t'), '###', '\\h'), ':', '\\c') || ': '
+      || replace(replace(replace(text, '\\', '\\b'), '</turn>', '\\t'), '###', '\\h') || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples

@@ -315,11 +315,31 @@ def test_chat_round_trip(spark):
     for c in {r[0] for r in rows}:
         assert by[c] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=order)]
     formatted = {r.conv_id: r.formatted for r in chat.conversations(turns).collect()}
-    found = chat.with_prompts(chat.examples(turns), chat.conversations(turns)).collect()
+    found = chat.examples(chat.conversations(turns)).where("span IS NOT NULL").collect()
     assert len(found) == 18
     for r in found:
         assert formatted[r.conv_id].startswith(r.prompt + r.target + chat.CLOSE) and r.prompt.endswith("### assistant: ")
-    assert chat.digests(turns.where("false")).count() == 0 and chat.digests(turns).count() == 10
+    digests = chat.digests(chat.conversations(turns)).collect()
+    assert len(digests) == 10 and chat.digests(chat.conversations(turns.where("false"))).count() == 0
+    for r in digests:
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=order)
+        loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
+
+
+def test_a_wrong_mask_shows(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "question"), (1, 1, "assistant", "the answer")], "conv_id long, turn long, role string, text string")
+    right = chat.conversations(turns)
+    want = hashlib.sha256(b"the answer").hexdigest()
+    assert chat.digests(right).first().loss_sha256 == want
+    for change in (lambda m: F.struct(m["turns"].alias("turns"), (m["first"] + 1).alias("first"), m["chars"].alias("chars")), lambda m: F.struct(m["turns"].alias("turns"), m["first"].alias("first"), (m["chars"] - 1).alias("chars"))):
+        assert chat.digests(right.withColumn("mask", F.transform("mask", change))).first().loss_sha256 != want
+
+
+def test_chat_shuffles_texts_once(spark):
+    plan = queries.op7_chat(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
 def test_chat_equals_sql(spark):

@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP images as numpy arrays, tiles and hashes.
 
 Images are decoded from a binary column, resized by area with integral images,
-and written as NPY tiles with difference hashes. ``encode_pgm`` stores any
+and written as NPY tiles with difference hashes: a table in the shared folder
+has each image's tile as the bytes of an NPY file. ``encode_pgm`` stores any
 payload losslessly as the 8-bit samples of a grey image.
 """
 
@@ -28,7 +29,10 @@ _FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d+)")
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an array of (height, width, samples); bitmaps as 0 (black) and 255."""
+    """P1 to P6 as an array of (height, width, samples); bitmaps as 0 (black) and 255.
+
+    Samples over the header's maximum, or a maximum that isn't in 1 to 65535, are errors.
+    """
     if data[:2] not in NETPBM:
         raise ValueError("not a Netpbm image")
     samples, as_text, bits = NETPBM[data[:2]]
@@ -41,6 +45,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height, most = fields[0], fields[1], 1 if bits else fields[2]
     count = width * height * samples
+    if not 0 < most < 65536:
+        raise ValueError("the largest sample is out of range")
+    if count > 8 * len(data):  # not even a bit for each
+        raise ValueError("samples are missing")
     if as_text:
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
         values = np.array([c - 48 for c in body if c in b"01"] if bits else body.split(), dtype=np.int64)
@@ -53,6 +61,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if len(values) < count:
         raise ValueError("samples are missing")
     values = values[:count].reshape(height, width, samples)
+    if count and (as_text or most not in (255, 65535)) and not 0 <= values.min() <= values.max() <= most:
+        raise ValueError("a sample is out of range")
     if bits:
         return ((1 - values) * 255).astype(np.uint8)
     return values.astype(np.uint8 if most < 256 else np.uint16)
@@ -65,17 +75,33 @@ def encode_netpbm(image: np.ndarray) -> bytes:
     return b"%s\n%d %d\n255\n" % (magic, image.shape[1], image.shape[0]) + np.ascontiguousarray(image, np.uint8).tobytes()
 
 
+def _field(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask as 8-bit samples; 0 without a mask."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    return np.round(((values & np.uint32(mask)) >> np.uint32(low)) * (255 / top)).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width, 3)."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits as (height, width, 3); bit fields by their masks, 5 bits a sample at 16 without."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     word = lambda at, size=4, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
     start, header, width, height, depth = word(10), word(14), word(18, signed=True), word(22, signed=True), word(28, 2)
-    if word(30) not in (0, 3) or depth not in (1, 4, 8, 24, 32):
+    fields = word(30) == 3
+    if word(30) not in (0, 3) or depth not in (1, 4, 8, 16, 24, 32) or fields and depth not in (16, 32):
         raise ValueError("compressed, or of an unknown depth")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
+    if width < 1 or stride * rows > len(data):
+        raise ValueError("samples are missing")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
-    if depth >= 24:
+    if fields or depth == 16:
+        values = raw[:, : width * depth // 8].copy().view("<u4" if depth == 32 else "<u2").astype(np.uint32)
+        masks = [word(at) for at in (54, 58, 62)] if fields else [0x7C00, 0x03E0, 0x001F]
+        image = np.stack([_field(values, m) for m in masks], axis=2)
+    elif depth >= 24:
         step = depth // 8
         image = raw[:, : width * step].reshape(rows, width, step)[:, :, 2::-1]
     else:
@@ -157,13 +183,13 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media", tile:
         stored = (len(data), hashlib.sha256(data).hexdigest())
         try:
             image = decode(data)
-        except (ValueError, IndexError) as e:
+        except (ValueError, IndexError, OverflowError, MemoryError) as e:
             return (None,) * 6 + stored + (None, str(e)) + (None,) * with_tiles
         raw = image.tobytes()
         shape = (*image.shape, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
         if not image.size:
             return shape + stored + (None, "empty") + (None,) * with_tiles
-        tiles = (npy(np.round(area_resize(image, *tile)).astype(image.dtype)),) if with_tiles else ()
+        tiles = (npy(np.round(np.round(area_resize(image, *tile), 6)).astype(image.dtype)),) if with_tiles else ()
         return shape + stored + (difference_hash(image), None) + tiles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +215,18 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", F.octet_length(payload).cast("long").alias("n_bytes"), encode_pgm(payload).alias("media")), "media")
 
 
+def write_tiles(media: DataFrame, key: str = "doc_id", column: str = "media", tile: tuple[int, int] = TILE) -> DataFrame:
+    """``describe`` with tiles, written as a table in the shared folder and read back: one row per image, its NPY file in ``tile``."""
+    return materialise(describe(media, key, column, tile, with_tiles=True), "tiles")
+
+
 def text_features(docs: DataFrame) -> DataFrame:
-    """Texts stored as images, read back and described.
+    """Texts stored as images, read back, described and written as NPY tiles.
 
     ``n_bytes`` is taken from the text; all else from the stored bytes.
+    ``feature`` is the difference hash and, behind a colon, the SHA-1 of the
+    NPY file as it was written.
     """
-    stored = store_texts(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = stored.select(F.struct("doc_id", "n_bytes").alias("key"), "media")
-    found = describe(keyed, key="key") if kind != "void" else describe(stored)
-    return found.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    keyed = store_texts(docs).select(F.struct("doc_id", "n_bytes").alias("key"), "media")
+    feature = F.concat_ws(":", "feature", F.sha1("tile")).alias("feature")
+    return write_tiles(keyed, key="key").select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)

@@ -9,8 +9,9 @@ sequence is exactly full. Sequences of a tier are then dealt to step groups of
 equally many tokens, in a snake over their attention cost.
 
 Every task packs what it reads, so there is no shuffle and no planning on the
-driver, and a lost task is simply run again. The only padding is in the last
-sequence of a task, so the share of padding falls as partitions grow.
+driver, and a lost task is simply run again. What is left at the end of a task
+is cut into sequences whose lengths are falling powers of two, at most one of
+each under the shortest tier, so there is no padding.
 """
 
 from __future__ import annotations
@@ -180,21 +181,26 @@ class Packer:
                     break
                 self.close(self.tiers[level], parts)
         if last:
-            rest = [self.take(k, 0) for k in range(len(self.tiers) - 1, -1, -1) for _ in range(len(self.pools[k]))]
-            for tier in reversed(self.tiers):
-                while sum(len(x[2]) for x in rest) >= tier * 4:
-                    parts, gap = [], tier
-                    while gap:
-                        key, start, ids, total = rest.pop(0)
-                        if len(ids) > gap * 4:
-                            rest.insert(0, (key, start + gap, ids[gap * 4 :], total))
-                        parts.append((key, start, ids[: gap * 4], total))
-                        gap -= len(parts[-1][2]) // 4
-                    self.close(tier, parts)
-            if rest:
-                self.close(self.top, rest)
+            self.finish([self.take(k, 0) for k in range(len(self.tiers) - 1, -1, -1) for _ in range(len(self.pools[k]))])
         self.deal(last)
 
+    def finish(self, rest: list[tuple]) -> None:
+        """Fills sequences of the longest tier, then of falling powers of two, with what is left."""
+        rest.reverse()
+        size, left = self.top, sum(len(x[2]) for x in rest) // 4
+        while left:
+            if size > left:
+                size = 1 << (left.bit_length() - 1)
+            parts, gap = [], size
+            while gap:
+                key, start, ids, total = rest.pop()
+                if len(ids) > gap * 4:
+                    rest.append((key, start + gap, ids[gap * 4 :], total))
+                parts.append((key, start, ids[: gap * 4], total))
+                gap -= len(parts[-1][2]) // 4
+            self.close(size, parts)
+            left -= size
+
     def close(self, tier: int, parts: list[tuple]) -> None:
         self.waiting[tier].append((sum((len(x[2]) // 4) ** 2 for x in parts), self.sequences, parts))
         self.sequences += 1
@@ -225,7 +231,8 @@ def pack_documents(docs: DataFrame, with_ids: bool = False, tiers=TIERS, step_to
     """One row per piece of a document: where it lies in which sequence.
 
     ``start`` counts the document's ids before the piece, ``offset`` the
-    sequence's. ``tier`` is the sequence's context size and ``step_group`` the
+    sequence's. ``tier`` is the sequence's context size (under the shortest tier
+    for the few sequences that end a task) and ``step_group`` the
     group of sequences, of ``step_tokens`` ids, that a training step takes.
     With ``with_ids`` the ids follow as an array.
 

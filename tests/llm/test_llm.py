@@ -91,7 +91,15 @@ def test_packing_loses_no_id(spark):
         want = own.whole.encode(d.text, add_special_tokens=False).ids + [1]
         assert [x for r in pieces for x in r.ids] == want and {r.doc_tokens for r in pieces} == {len(want)}
     _, padding = packed(rows)
-    assert padding <= 2048 * 4
+    assert padding == 0
+
+
+def test_packing_pads_nothing_however_little_there_is(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"word{rng.integers(99)}" for _ in range(rng.integers(0, 40)))) for k in range(60)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(30)).collect()
+    by, padding = packed(got)
+    assert padding == 0 and all(len({(r.tier) for r in parts}) == 1 and sum(r.length for r in parts) == parts[0].tier for parts in by.values())
 
 
 def test_packing_odd_rows(odd, none):
@@ -108,7 +116,7 @@ def test_step_groups_hold_equal_tokens(spark):
     for r in rows:
         sums[r.tier, r.step_group] += r.length
     short = [k for k, v in sums.items() if v != packing.STEP_TOKENS]
-    assert len(short) <= 8 * len(packing.TIERS)
+    assert len(short) <= 8 * (len(packing.TIERS) + 8)
 
 
 def test_coder_equals_the_tokenizer():
@@ -233,23 +241,57 @@ def test_area_resize_is_a_mean():
         assert np.isclose(media.area_resize(image, h, w).mean(), image.mean())
 
 
+def test_samples_out_of_range_and_masks():
+    for bad in (b"P2\n1 1\n255\n99999999999999999999999", b"P2\n1 1\n255\n300", b"P5\n1 1\n9\n\x0a", b"P5\n1 1\n0\n\x00", b"P5\n99999999999999999999 9\n255\na", b"P2\n1 1\n255\n-1", b"P5\n99999999 99999\n255\na", b"BM", b"P1\n9 9\n1"):
+        with pytest.raises((ValueError, OverflowError, IndexError)):
+            media.decode(bad)
+
+    def bmp(depth, body, compression=0, masks=b""):
+        head = b"BM" + bytes(8) + (54 + len(masks)).to_bytes(4, "little")
+        return head + b"".join(x.to_bytes(4, "little") for x in (40, 2, 1)) + b"\x01\x00" + depth.to_bytes(2, "little") + compression.to_bytes(4, "little") + bytes(20) + masks + body
+
+    words = lambda size, *v: b"".join(x.to_bytes(size, "little") for x in v)
+    assert media.decode(bmp(32, words(4, 0x00FF8001, 0x00000102), 3, words(4, 0xFF, 0xFF00, 0xFF0000))).tolist() == [[[1, 128, 255], [2, 1, 0]]]
+    assert media.decode(bmp(16, words(2, 0x7C00, 0x03FF))).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    assert media.decode(bmp(16, words(2, 0xF800, 0x07E0), 3, words(4, 0xF800, 0x07E0, 0x1F))).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+
+
+def slow_tile(image, height, width):
+    """Area means by splitting every pixel into height x width equal parts."""
+    fine = np.repeat(np.repeat(image.astype(float), height, axis=0), width, axis=1)
+    h, w = image.shape[0], image.shape[1]
+    return fine.reshape(height, h, width, w).mean(axis=(1, 3))
+
+
 def test_media_of_texts(odd, none):
+    import io
+
     got = media.text_features(odd).collect()
     texts = Counter((r[0], (r[1] or "").encode()) for r in ODD)
     for r in got:
         body = next(t for k, t in texts if k == r.doc_id and len(t) == r.n_bytes)
         payload = body + bytes((max(64, -(-len(body) // 64) * 64)) - len(body))
         assert r.payload_bytes == len(payload) and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        if len(payload) <= 64 * 50:
+            image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+            out, small = io.BytesIO(), np.round(slow_tile(image, 9, 9), 6)
+            np.save(out, np.round(np.round(slow_tile(image, *media.TILE), 6)).astype(np.uint8)[:, :, None])
+            bits = [small[y, x + 1] > small[y, x] for y in range(8) for x in range(8)] + [small[y + 1, x] > small[y, x] for y in range(8) for x in range(8)]
+            want = f"{int(''.join('01'[int(b)] for b in bits), 2):032x}:{hashlib.sha1(out.getvalue()).hexdigest()}"
+            assert r.feature == want
     assert len(got) == len(ODD) and media.text_features(none).count() == 0
 
 
 def test_media_that_cannot_be_read(spark):
-    rows = spark.createDataFrame([(1, b"nothing"), (2, None), (3, b"P5\n4 4\n255\nab"), (4, b"P5\n1 1\n255\na")], "doc_id long, media binary")
-    got = {r.doc_id: r for r in media.describe(rows, with_tiles=True).collect()}
-    assert got[1].error and got[2].error and got[3].error and got[4].error is None
+    rows = spark.createDataFrame([(1, b"nothing"), (2, None), (3, b"P5\n4 4\n255\nab"), (4, b"P5\n1 1\n255\na"), (5, b"P2\n1 1\n255\n99999999999999999999999"), (6, b"P5\n99999999999999999999 9\n255\na"), (7, b"BM"), (8, b"P5\n0 0\n255\n")], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.write_tiles(rows).collect()}
+    assert all(got[k].error and got[k].tile is None for k in (1, 2, 3, 5, 6, 7, 8)) and got[4].error is None
     import io
 
-    assert np.load(io.BytesIO(got[4].tile)).shape == (*media.TILE, 1)
+    tile = np.load(io.BytesIO(got[4].tile))
+    assert tile.shape == (*media.TILE, 1) and (tile == 97).all()
 
 
 # 6: substring dedup

@@ -7,8 +7,9 @@ logistic loss, weighted by how well the bit separates its two sides; the
 nearest codeword wins, and a text is ambiguous if the runner-up is about as
 near.
 
-Counts are taken over all labelled training rows, whole texts. The model has
-``BINS`` weights for each bit, so it is bounded by the number of languages.
+Counts are taken over all labelled training rows, whole texts, and summed by
+bin and bit in Spark. The model has ``BINS`` weights for each bit, so it is
+bounded by the number of languages.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, slices, whole_rows
 
 BINS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -118,15 +119,14 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Languages, their code, and the bits' weights."""
+    """Languages, their code, and the bits' weights, from each bin's count and the part of it on each bit's upper side."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.code = languages, codewords(len(languages))
-        bits = self.code.shape[1]
+    def __init__(self, languages: list[str], code: np.ndarray, upper: np.ndarray, total: np.ndarray):
+        self.languages, self.code = languages, code
+        bits = code.shape[1]
         self.weights, self.trust = np.zeros((BINS, bits), np.float32), np.zeros(bits)
         for b in range(bits):
-            side = [table[self.code[:, b] == s].sum(axis=0) + 0.5 for s in (-1, 1)]
-            low, high = (x / x.sum() for x in side)
+            low, high = (x / x.sum() for x in (total - upper[:, b] + 0.5, upper[:, b] + 0.5))
             ratio = np.log(high / low)
             self.weights[:, b] = ratio
             self.trust[b] = (high - low) @ ratio
@@ -155,18 +155,44 @@ class Model:
         return near / near.sum(axis=1, keepdims=True)
 
 
+def by_side(found: DataFrame, languages: list[str], code: np.ndarray) -> DataFrame:
+    """bin, total and upper: a bin's count over all languages, and for each bit over those with a 1."""
+    places = {x: k for k, x in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = (code > 0).astype(np.float64)
+        total, upper = np.zeros(BINS), np.zeros((BINS, code.shape[1]))
+        for batch in batches:
+            names = batch.column("lang").dictionary_encode()
+            lang = np.array([places[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+            bins, n = batch.column("bin").to_numpy(), batch.column("n").to_numpy()
+            np.add.at(total, bins, n)
+            np.add.at(upper, bins, above[lang] * n[:, None])
+        seen = np.flatnonzero(total)
+        ends = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * code.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen]), pa.ListArray.from_arrays(ends, pa.array(upper[seen].ravel()))], names=["bin", "total", "upper"])
+
+    return found.repartition("bin").mapInArrow(run, "bin int, total double, upper array<double>")
+
+
 def train(docs: DataFrame) -> Model:
-    """Learns from the rows that have a text and a language."""
+    """Learns from the rows that have a text and a language.
+
+    Counts of a language stay in Spark: the driver gets a row for each bin,
+    with a number for each bit of the code (some 110 for 2000 languages).
+    """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    known = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if known > MOST_LANGUAGES:
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    got = counts(rows).toArrow()
-    languages = sorted(set(got["lang"].to_pylist()))
-    table = np.zeros((len(languages), BINS))
-    number = {x: k for k, x in enumerate(languages)}
-    table[[number[x] for x in got["lang"].to_pylist()], got["bin"].to_numpy()] = got["n"].to_numpy()
-    return Model(languages, table)
+    code = codewords(len(languages))
+    total, upper = np.zeros(BINS), np.zeros((BINS, code.shape[1]))
+    if code.shape[1]:
+        got = by_side(counts(rows), languages, code).toArrow()
+        bins = got["bin"].to_numpy()
+        total[bins] = got["total"].to_numpy()
+        upper[bins] = got["upper"].combine_chunks().flatten().to_numpy().reshape(len(bins), -1) if len(bins) else 0
+    return Model(languages, code, upper, total)
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -214,7 +240,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents without those whose language is unknown or ambiguous."""
+    """Documents without those whose language is unknown or ambiguous.
+
+    Null, empty and letterless texts are unknown, so they go. Rows without a
+    key are judged like others; repeated rows are judged alike. Columns may
+    have any names and return as they were; an empty table gives no rows.
+    """
     model = train(docs.where(fold("doc_id", FOLDS) != HELD_OUT))
-    carry = tuple(docs.columns)
-    return predict(docs, model, carry).where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*carry)
+    rows = whole_rows(docs).select("row", F.col("row.text").alias("text"))
+    return predict(rows, model, ("row",)).where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")

@@ -1,8 +1,9 @@
 """Vector bin packing of documents into shards.
 
-Bytes, tokens and rows are balanced jointly. Documents with equal texts are
-one group, placed whole unless it is so large that it would unbalance the
-shards; such a group is cut into chunks. Groups are dealt to buckets. Each
+Bytes, tokens (of a byte-level BPE) and rows are balanced jointly. Documents
+with equal texts are one group, placed whole unless it is so large that it
+would unbalance the shards; such a group's rows are dealt to chunks, whatever
+their keys. Texts are read once, for the sizes, which are written down. Groups are dealt to buckets. Each
 bucket packs its groups, largest first, into as many bins as there are shards:
 a group goes where the dot product of its size vector with the residual
 capacity is highest. The bins of all buckets, which are few, are then packed
@@ -15,19 +16,21 @@ the sums of ``MAX_BUCKETS * shards`` bins at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbers, slices
+from .packing import coder
 
 #: A group with more than 1 / (shards * SHARE) of the rows, bytes or tokens is cut into chunks.
 SHARE = 4
 ROWS_IN_BUCKET = 20_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 14
 
 
 def place(items: np.ndarray, bins: int, capacity: np.ndarray) -> np.ndarray:
@@ -43,16 +46,28 @@ def place(items: np.ndarray, bins: int, capacity: np.ndarray) -> np.ndarray:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """The sizes of each document: UTF-8 bytes plus 1, words, crc32, and the hash that groups equal texts."""
+    """The sizes of each row: UTF-8 bytes plus 1, tokens, crc32, the hash that groups equal texts, and ``place``, a number of its own."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select(
         "doc_id",
+        text.alias("text"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = coder(), TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            tokens = [len(x) // 4 for x in own.code(numbers(batch, "text"))]
+            kept = [batch.column(c) for c in ("doc_id", "size", "text_crc32", "text_hash")]
+            places = np.arange(place, place + batch.num_rows)
+            place += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.int64()), pa.array(places)], names=["doc_id", "size", "text_crc32", "text_hash", "tokens", "place"])
+
+    return read.mapInArrow(run, f"doc_id {kind}, size long, text_crc32 long, text_hash long, tokens long, place long")
+
 
 def _pack_bucket(shards: int):
     def run(data: pa.Table) -> pa.Table:
@@ -79,11 +94,11 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Returns doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each
     shard), grown_shard (null: this law promises nothing about more shards)
-    and tokens. A null text counts as empty, with size 1. Null and repeated
+    and tokens. A null text counts as empty, with size 1 and no tokens. Null and repeated
     keys are kept, each row with a slot of its own. Extra columns are ignored.
     An empty table gives no rows.
     """
-    spark, rows = docs.sparkSession, measures(docs)
+    spark, rows = docs.sparkSession, materialise(measures(docs), "measures")
     totals = rows.groupBy().agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t")).first()
     n, limit = totals["n"], 1 / (shards * SHARE)
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t"))
@@ -93,7 +108,7 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     salt = F.lit(0)
     if hot:
         chunks = F.create_map(*(F.lit(v) for r in hot for v in (r["text_hash"], int(np.ceil(r["share"] * buckets * shards * SHARE)))))
-        salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(chunks, F.col("text_hash"))), F.lit(0)).cast("int")
+        salt = F.coalesce(F.pmod(F.xxhash64("place"), F.element_at(chunks, F.col("text_hash"))), F.lit(0)).cast("int")
     salted = rows.withColumn("salt", salt)
     salted = salted.withColumn("bucket", F.pmod(F.xxhash64("text_hash", "salt"), F.lit(buckets)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()

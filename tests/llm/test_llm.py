@@ -146,6 +146,52 @@ def test_language_odd_rows(odd, none):
     assert kept.columns == odd.columns
 
 
+def slow_bins(text):
+    """Bins of all n-grams of a text, one after another."""
+    data, out = b" " + text.lower().encode() + b" ", []
+    for order in langid.ORDERS:
+        for at in range(len(data) - order + 1):
+            value = order
+            for byte in data[at : at + order]:
+                value = (value * 0x01000193 + byte) % 2**32
+            out.append((value * 0x9E3779B1 % 2**32) >> 18)
+    return out
+
+
+@pytest.mark.parametrize("count", [2, 3, 8])
+def test_language_scores_equal_brute_force(spark, count):
+    rng = np.random.default_rng(count)
+    names = [f"l{k}" for k in range(count)]
+    make = lambda k: " ".join("".join(rng.choice(list("abcdeé") + [chr(103 + k)]) for _ in range(rng.integers(1, 7))) for _ in range(rng.integers(1, 30)))
+    rows = [(k, make(k % count), names[k % count]) for k in range(60)] + [(99, None, "l0"), (98, "abc", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sums = {n: Counter() for n in names}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            sums[lang].update(slow_bins(text))
+    assert model.languages == names
+    tests = [make(0), make(1), "x", "abc " * 50]
+    got = model.scores([t.encode() for t in tests])
+    for text, row in zip(tests, got, strict=True):
+        margins, trust, bins = [], [], slow_bins(text)
+        for bit in model.code.T:
+            side = [[sum(sums[n][b] for n, s in zip(names, bit, strict=True) if s == want) + 0.5 for b in range(langid.BINS)] for want in (-1, 1)]
+            low, high = (np.array(x) / sum(x) for x in side)
+            ratio = np.log(high / low)
+            trust.append(sum((high - low) * ratio))
+            margins.append(ratio[bins].mean() * min(len(bins), langid.EVIDENCE))
+        loss = [sum(t / sum(trust) * np.log1p(np.exp(-m * s)) for t, m, s in zip(trust, margins, word, strict=True)) for word in model.code]
+        want = np.exp(-np.array(loss))
+        assert np.allclose(row, want / want.sum(), rtol=1e-4, atol=1e-6)
+
+
+def test_kept_languages_keep_clashing_columns(spark):
+    rows = [(k, "the words of this language" if k % 2 else "les mots de cette langue", "en" if k % 2 else "fr", 1.5, "x", True) for k in range(40)] + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, row string, ambiguous boolean").withColumn("lang_pred", F.lit("zz"))
+    got = langid.keep_identified(docs)
+    assert got.columns == docs.columns and got.count() == 40 and {r.score for r in got.collect()} == {1.5}
+
+
 def test_codes_are_apart():
     for n in (2, 3, 4, 6, 7, 30):
         code = langid.codewords(n)
@@ -206,10 +252,34 @@ def test_shards_are_balanced_and_gapless(spark):
     assert max(sizes.values()) < 1.04 * min(sizes.values())
 
 
-def test_a_hot_group_is_divided(spark):
-    rows = [(k, "the same text again and again" if k < 900 else f"text {k} " * (k % 17)) for k in range(2000)]
-    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).collect()
-    assert len(got) == 16 and max(r.b for r in got) < 1.1 * min(r.b for r in got)
+@pytest.mark.parametrize("key", ["own", "null", "same"])
+def test_a_hot_group_is_divided(spark, key):
+    rows = [(k if key == "own" or k >= 900 else None if key == "null" else 7, "the same text again and again" if k < 900 else f"text {k} " * (k % 17)) for k in range(2000)]
+    rows = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_placing_equals_the_rule():
+    rng = np.random.default_rng(16)
+    items = rng.integers(1, 50, (60, 3)).astype(float)
+    capacity, got = items.sum(axis=0) / 4, sharding.place(items, 4, items.sum(axis=0) / 4)
+    room = [[1.0] * 3 for _ in range(4)]
+    for k in sorted(range(60), key=lambda k: -max(items[k] / capacity)):
+        size = items[k] / capacity
+        best = max(range(4), key=lambda b: (sum(a * c for a, c in zip(room[b], size, strict=True)), -b))
+        assert got[k] == best
+        room[best] = [a - c for a, c in zip(room[best], size, strict=True)]
+
+
+def test_tokens_of_shards_are_the_tokenizers(spark):
+    got = sharding.assign_shards(table(spark, SMALL, "documents")).collect()
+    own, texts = packing.coder(), {d.doc_id: d.text for d in documents(spark).itertuples()}
+    assert all(r.tokens == len(own.whole.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
 
 
 def test_shards_odd_rows(odd, none):

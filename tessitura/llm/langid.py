@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fold, slices, whole_rows
 
@@ -204,8 +205,8 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in carry), "lang_pred string, score double, runner_up string, ambiguous boolean"])
+    results = StructType.fromDDL("lang_pred string, score double, runner_up string, ambiguous boolean")
+    schema = StructType([*(docs.schema[c] for c in carry), *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

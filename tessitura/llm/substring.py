@@ -9,10 +9,13 @@ occurrence of its seed has it too. Neighbouring windows that repeat make up a
 maximal repeat.
 
 Only hashes are shuffled for the join, about one row for each
-``(least - SEED_WORDS + 2) / 2`` words. A seed that is found in many of a few
-sampled documents is hot: its windows are dealt out one by one by their own
-hash instead, so that no task gets them all. The sample decides about that
-division alone, never about results.
+``(least - SEED_WORDS + 2) / 2`` words. Of windows that occur several times in
+a slice of texts only the first is sent, for that they repeat is known at
+once; so a passage in a third of all documents costs a row a slice. Seeds that
+are frequent although their windows differ are counted beforehand over all
+texts, in summaries of bounded size that miss none above a fixed share: their
+windows are dealt out one by one by their own hash, so no task gets them all.
+Neither changes a result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import materialise, slices
 
 LEAST = 35
 SEED_WORDS = 12
@@ -34,9 +39,10 @@ SEED_WORDS = 12
 BLOCK = 1 << 20
 #: Bytes of a window's hash that travel with its seed, of which it is given 64 bits more.
 KEPT = 5
-#: About so many documents are sampled for hot seeds; hot are those in over SAMPLED / SHARE of them.
-SAMPLED, SHARE = 4000, 50
-#: Rows of whole seeds that are compared at once.
+#: Seeds with over 1 / SHARE of all occurrences are hot. A task's summary of its seeds has COUNTERS of them at most, so it
+#: knows each to within 1 / COUNTERS of its occurrences, and no hot seed is missed.
+SHARE, COUNTERS = 10_000, 40_000
+#: Rows of whole seeds that are compared at once, about.
 COMPARED = 150_000
 BASE = 0xD1342543DE82EF95
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -90,73 +96,144 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def seeds(texts: list[bytes], least: int, seed_words: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Occurrences of seeds: (number of the text, seed, first window * 64 + the seed's place in it, windows, their hashes).
-
-    A hot seed gives an occurrence for each window, with the window's hash as its seed.
-    """
-    owners, offsets, parts = [], [], []
-    for k, text in enumerate(texts):
-        words = text.split()  # bytes: ASCII white space
-        for at in range(0, max(1, len(words) - least + 1), BLOCK):
-            part = words[at : at + BLOCK + least - 1]
-            if len(part) >= least:
-                owners.append(k)
-                offsets.append(at)
-                parts.append(part)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    n = int(sizes.sum())
-    if not n:
-        empty = np.zeros(0, np.int64)
-        return empty, empty.astype(np.uint64), empty, empty, empty.astype(np.uint64)
-    words = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, n)
-    grams, windows = rolled(words, seed_words, least)
-    place = smallest(grams, least - seed_words + 1)
-    begins = np.cumsum(sizes) - sizes
-    edge = np.zeros(n + 1, np.int8)
-    edge[begins] += 1
-    edge[begins + sizes - least + 1] -= 1
-    starts = np.flatnonzero(np.cumsum(edge[:-1]))
-    at = place[starts]
-    seed, hashes = grams[at], windows[starts]
-    alone = np.isin(seed, hot) if len(hot) else np.zeros(len(seed), bool)
-    seed = np.where(alone, hashes, seed)
-    fresh = alone.copy()
-    fresh[0] = True
-    fresh[1:] |= (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1) | alone[:-1]
-    first = np.flatnonzero(fresh)
-    block = np.searchsorted(begins, starts[first], side="right") - 1
-    origin = starts[first] - begins[block] + np.array(offsets)[block]
-    return np.array(owners)[block], seed[first], origin * 64 + (at[first] - starts[first]), np.diff(np.append(first, len(starts))), hashes
+class Windows:
+    """The windows of some texts: ``owner`` (number of the text), ``origin`` (first word), ``hashes``, and the seed's hash and place in each."""
+
+    def __init__(self, texts: list[bytes], least: int, seed_words: int):
+        owners, offsets, parts = [], [], []
+        for k, text in enumerate(texts):
+            words = text.split()  # bytes: ASCII white space
+            for at in range(0, max(1, len(words) - least + 1), BLOCK):
+                part = words[at : at + BLOCK + least - 1]
+                if len(part) >= least:
+                    owners.append(k)
+                    offsets.append(at)
+                    parts.append(part)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        n = int(sizes.sum())
+        if not n:
+            self.owner = self.origin = self.place = np.zeros(0, np.int64)
+            self.hashes = self.seed = np.zeros(0, np.uint64)
+            return
+        words = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, n)
+        grams, windows = rolled(words, seed_words, least)
+        place = smallest(grams, least - seed_words + 1)
+        begins = np.cumsum(sizes) - sizes
+        edge = np.zeros(n + 1, np.int8)
+        edge[begins] += 1
+        edge[begins + sizes - least + 1] -= 1
+        starts = np.flatnonzero(np.cumsum(edge[:-1]))
+        block = np.repeat(np.arange(len(sizes)), sizes - least + 1)
+        self.owner = np.array(owners)[block]
+        self.origin = starts - begins[block] + np.array(offsets)[block]
+        self.hashes, self.place = windows[starts], place[starts] - starts
+        self.seed = grams[place[starts]]
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows occur several times here, and which are not the first of their kind."""
+        order = np.argsort(self.hashes, kind="stable")
+        same = self.hashes[order][1:] == self.hashes[order][:-1]
+        several, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        later[order[1:][same]] = True
+        several[order[1:][same]] = several[order[:-1][same]] = True
+        return several, later
+
+    def starts(self, chosen: np.ndarray, *changes: np.ndarray) -> np.ndarray:
+        """Where runs of chosen windows in a row begin, which end also where one of ``changes`` does."""
+        apart = (self.origin[chosen][1:] != self.origin[chosen][:-1] + 1) | (self.owner[chosen][1:] != self.owner[chosen][:-1])
+        for x in changes:
+            apart |= x[1:] != x[:-1]
+        return np.flatnonzero(np.concatenate([[True], apart])) if len(chosen) else np.zeros(0, np.int64)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows that repeat here: number of the text, first window, windows."""
+        chosen = np.flatnonzero(self.repeated()[0])
+        first = self.starts(chosen)
+        return self.owner[chosen][first], self.origin[chosen][first], np.diff(np.append(first, len(chosen)))
+
+    def occurrences(self, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Occurrences of seeds, later ones of a window left out: number of the text, seed, first window * 64 + the seed's place in it, windows, their hashes.
+
+        A hot seed gives an occurrence for each window, with the window's hash as its seed.
+        """
+        chosen = np.flatnonzero(~self.repeated()[1])
+        alone = np.isin(self.seed[chosen], hot) if len(hot) else np.zeros(len(chosen), bool)
+        seed = np.where(alone, self.hashes[chosen], self.seed[chosen])
+        at = self.origin + self.place
+        # windows of a hot seed are apart from their neighbours, whatever their seeds
+        number = np.where(alone, np.arange(len(chosen)), -1)
+        first = self.starts(chosen, at[chosen], seed, number)
+        return self.owner[chosen][first], seed[first], self.origin[chosen][first] * 64 + self.place[chosen][first], np.diff(np.append(first, len(chosen))), self.hashes[chosen]
 
 
 def occurrences(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS, hot: np.ndarray | None = None) -> DataFrame:
-    """seed, _key (of the row), place and the windows' hashes of every occurrence of a seed."""
+    """seed, _key (of the row), place and the windows' hashes of every occurrence of a seed.
+
+    Where ``windows`` is null the row says instead that ``n`` windows from
+    ``place`` on repeat; its ``seed`` only spreads such rows.
+    """
     known = np.zeros(0, np.uint64) if hot is None else hot
+    names = ["seed", "_key", "place", "n", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            owner, seed, place, count, hashes = seeds(texts, least, seed_words, known)
-            if not len(seed):
+            found = Windows([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], least, seed_words)
+            if not len(found.seed):
                 continue
+            keys = batch.column("_key").to_numpy()
+            owner, seed, place, count, hashes = found.occurrences(known)
             data = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT])
             ends = np.concatenate([[0], np.cumsum(count * KEPT)]).astype(np.int32)
             blobs = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            keys = batch.column("_key").to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(keys), pa.array(place), blobs], names=["seed", "_key", "place", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(keys[owner]), pa.array(place), pa.array(count), blobs], names=names)
+            owner, first, count = found.runs()
+            if len(owner):
+                spread = mix((keys[owner] + first).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(keys[owner]), pa.array(first), pa.array(count), pa.nulls(len(owner), pa.binary())], names=names)
+
+    return docs.select("_key", "text").mapInArrow(run, "seed long, _key long, place long, n long, windows binary")
 
-    return docs.select("_key", "text").mapInArrow(run, "seed long, _key long, place long, windows binary")
 
+class Summary:
+    """Counts of the most frequent values, each too low by at most 1 / ``size`` of all that was added (Misra and Gries)."""
 
-def hot_seeds(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -> np.ndarray:
-    """Seeds that occur often in about SAMPLED documents; bounded by what those hold."""
-    total = docs.count()
-    if not total:
-        return np.zeros(0, np.uint64)
-    sample = docs.sample(fraction=min(1.0, SAMPLED / total), seed=1)
-    often = occurrences(sample, least, seed_words).groupBy("seed").agg(F.count_distinct("_key").alias("n")).where(F.col("n") > SAMPLED // SHARE)
-    return np.sort(np.array([r["seed"] for r in often.select("seed").collect()], dtype=np.int64).view(np.uint64))
+    def __init__(self, size: int):
+        self.size, self.values, self.counts, self.total = size, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.total += int(counts.sum())
+        self.values, index = np.unique(np.concatenate([self.values, values]), return_inverse=True)
+        summed = np.zeros(len(self.values), np.int64)
+        np.add.at(summed, index, np.concatenate([self.counts, counts]))
+        if len(summed) > self.size:
+            summed -= np.partition(summed, -self.size - 1)[-self.size - 1]
+            self.values, summed = self.values[summed > 0], summed[summed > 0]
+        self.counts = summed
+
+
+def hot_seeds(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS, share: int = SHARE, counters: int = COUNTERS) -> np.ndarray:
+    """All seeds with over 1 / ``share`` of the occurrences, and maybe some with little less.
+
+    Counted over all texts. Each task returns a summary of ``counters`` rows
+    at most, and fewer than ``share * counters / (counters - share)`` seeds
+    can have as much as is asked for, so the list is bounded too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = Summary(counters)
+        for batch in slices(batches, "text"):
+            found = Windows([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], least, seed_words)
+            if len(found.seed):
+                summary.add(*np.unique(found.occurrences(np.zeros(0, np.uint64))[1].view(np.int64), return_counts=True))
+        if summary.total:
+            values, counts = pa.array([None, *summary.values.tolist()], pa.int64()), pa.array([summary.total, *summary.counts.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([values, counts], names=["seed", "n"])
+
+    counted = materialise(docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seeds")
+    total = counted.where("seed IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least_count = total / share - total / counters
+    got = counted.where(F.col("seed").isNotNull() & (F.col("n") > least_count)).select("seed").toArrow()["seed"].to_numpy()
+    return np.sort(got.view(np.uint64))
 
 
 def compare(seed: np.ndarray, place: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -182,44 +259,54 @@ def compare(seed: np.ndarray, place: np.ndarray, sizes: np.ndarray, data: np.nda
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The repeating windows of each row: _key, runs (array of start and n)."""
+    """The repeating windows of each row: _key, runs (a set of start and n; runs may overlap)."""
     found = occurrences(docs, least, seed_words, hot_seeds(docs, least, seed_words))
+    names = ["_key", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out(table: pa.Table) -> pa.RecordBatch:
+        done: list[pa.RecordBatch] = []  # rows of seeds that are complete
+        last: list[pa.RecordBatch] = []  # rows of the seed that came last
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(done)
+            done.clear()
+            known = table.filter(pc.is_null(table["windows"]))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known["_key"].combine_chunks(), known["place"].combine_chunks().cast(pa.int32()), known["n"].combine_chunks().cast(pa.int32())], names=names)
+            table = table.filter(pc.is_valid(table["windows"]))
             seed = table["seed"].to_numpy()
             same = seed[1:] == seed[:-1]
             several = np.zeros(len(seed), bool)
             several[1:] |= same
             several[:-1] |= same
-            part = table.filter(pa.array(several)).combine_chunks()
-            names = ["_key", "start", "n"]
+            part = table.filter(pa.array(several))
             if not part.num_rows:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=names)
+                return
             blobs = pa.concat_arrays(part["windows"].chunks)
             ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
             data = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]]
             row, start, n = compare(part["seed"].to_numpy(), part["place"].to_numpy(), np.diff(ends), data)
-            return pa.RecordBatch.from_arrays([pa.array(part["_key"].to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(part["_key"].to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= COMPARED:  # all seeds but the last are complete
-                table = pa.Table.from_batches(held)
-                seed = table["seed"].to_numpy()
-                cut = int(np.searchsorted(seed, seed[-1]))
-                if cut:
-                    yield out(table.slice(0, cut))
-                    held, size = table.slice(cut).to_batches(), len(seed) - cut
-        if size:
-            yield out(pa.Table.from_batches(held))
+            if not batch.num_rows:
+                continue
+            seed = batch.column("seed").to_numpy()
+            if last and last[-1].column("seed")[0].as_py() == seed[0] == seed[-1]:
+                last.append(batch)
+                continue
+            cut = int(np.searchsorted(seed, seed[-1]))
+            done += [*last, batch.slice(0, cut)]
+            last = [batch.slice(cut)]
+            if sum(x.num_rows for x in done) >= COMPARED:
+                yield from out()
+        done += last
+        if done:
+            yield from out()
 
     runs = found.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "_key long, start int, n int")
-    return runs.groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    # a set: rows that are equal in id and text have one key, and tell the same runs
+    return runs.groupBy("_key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -232,15 +319,18 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_W
     Windows are judged on the input: all occurrences of a repeat go. Words are
     what ASCII white space divides, unchanged. Null texts have no words;
     repeated rows are copies of each other; null keys are allowed; other
-    columns, whatever their names, are only carried where asked for. An empty
+    columns, whatever their names, are only carried where asked for, and what
+    is carried can't be called like a result (put it into a struct). An empty
     table gives no rows.
     """
+    if set(carry) & {"n_words", "n_removed", "kept", "spans", "runs", "_key"}:
+        raise ValueError("a carried column is called like one of the results")
     if not seed_words < least <= seed_words + 63:
         raise ValueError("a seed is shorter than a window, by 63 words at most")
     keyed = docs.select(*dict.fromkeys([*carry, "text"]), F.xxhash64("doc_id", "text").alias("_key"))
     joined = keyed.join(repeats(keyed, least, seed_words), "_key", "left").drop("_key")
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in carry), "n_words long", "n_removed long", "kept string", "spans array<struct<start:int,stop:int>>"])
+    results = StructType.fromDDL("n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int>>")
+    schema = StructType([*(docs.schema[c] for c in carry), *results])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def one(text: bytes | None, runs: list | None) -> tuple:
@@ -249,8 +339,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_W
             return len(words), 0, b" ".join(words), []
         edge = np.zeros(len(words) + 1, np.int32)
         for r in runs:
-            edge[r["start"]] += 1
-            edge[r["start"] + r["n"] - 1 + least] -= 1
+            if r["start"] < len(words):
+                edge[r["start"]] += 1
+                edge[min(r["start"] + r["n"] - 1 + least, len(words))] -= 1
         covered = np.cumsum(edge[:-1]) > 0
         steps = np.diff(covered.astype(np.int8), prepend=0, append=0)
         spans = [{"start": a, "stop": b} for a, b in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True)]

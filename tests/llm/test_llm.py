@@ -405,11 +405,54 @@ def test_repeats_odd_rows(odd, none):
     assert substring.remove_repeats(none).count() == 0
 
 
-def test_hot_seeds_change_nothing(spark):
-    texts = [b" ".join(b"x%d" % ((k + j) % 50) for j in range(60)) for k in range(30)]
-    plain = substring.seeds(texts, 35, 12, np.zeros(0, np.uint64))
-    hot = substring.seeds(texts, 35, 12, np.unique(plain[1]))
-    assert len(hot[1]) == len(hot[4]) == len(plain[4]) and np.array_equal(np.sort(hot[4]), np.sort(plain[4]))
+@pytest.mark.parametrize("limit", [1, 10**9])
+def test_small_slices_and_hot_seeds_change_nothing(spark, monkeypatch, limit):
+    rng = np.random.default_rng(17)
+    line = " ".join(f"c{k}" for k in range(24))  # common, but in no window that repeats
+    rows = []
+    for k in range(200):
+        around = [" ".join(f"v{rng.integers(10**6)}" for _ in range(20)) for _ in range(2)]
+        a = rng.integers(0, 60)
+        rows.append((k, f"{around[0]} {line} {around[1]} " + " ".join(f"p{(a + j) % 80}" for j in range(rng.integers(0, 60)))))
+    want = trimmed([t for _, t in rows], 35)
+    monkeypatch.setattr(substring, "COMPARED", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    plain = substring.hot_seeds
+    monkeypatch.setattr(substring, "hot_seeds", lambda docs, least, seed_words: plain(docs, least, seed_words, 100 if limit == 1 else 1, 400))
+    assert (len(substring.hot_seeds(docs.withColumn("_key", F.lit(1)), 35, 12)) > 0) == (limit == 1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs).collect()}
+    assert [got[k] for k, _ in rows] == want and 0 < sum(w[1] for w in want)
+
+
+def test_summary_misses_no_frequent_value():
+    rng, own, every = np.random.default_rng(18), substring.Summary(50), Counter()
+    for _ in range(40):
+        values = np.concatenate([rng.integers(0, 5000, 300), rng.integers(0, 5, 60)])
+        own.add(*np.unique(values, return_counts=True))
+        every.update(values.tolist())
+    kept = dict(zip(own.values.tolist(), own.counts.tolist(), strict=True))
+    assert len(kept) <= 50 and own.total == sum(every.values())
+    assert all(0 <= n - kept.get(v, 0) <= own.total / 50 for v, n in every.items()) and {0, 1, 2, 3, 4} <= set(kept)
+
+
+def test_equal_rows_have_few_runs(spark):
+    """Rows without an id and with one text share a key: their runs are a set, so copies cost in proportion."""
+    text, passage = " ".join(f"e{k}" for k in range(60)), " ".join(f"e{k}" for k in range(10, 50))
+    rows = [(None, text)] * 3000 + [(k, f"h{k} {passage} t{k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("_key"))
+    sizes = substring.repeats(keyed).select(F.size("runs").alias("n")).collect()
+    assert len(sizes) == 51 and max(r.n for r in sizes) <= 60 - 35 + 2
+    got = substring.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(42, 40, 50), (60, 60, 3000)]
+
+
+def test_carried_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, `kept` string, `odd name` int")
+    with pytest.raises(ValueError):
+        substring.remove_repeats(docs, carry=("doc_id", "kept"))
+    row = substring.remove_repeats(docs.select("*", F.struct("*").alias("row")), carry=("row",)).select("row.*", F.col("kept").alias("left")).first()
+    assert row.left == "a b" and row.kept == "x" and row["odd name"] == 2
 
 
 # 7: chats

@@ -19,11 +19,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, numbers, slices
-from .substring import Hashes, rolled
+from .substring import rolled
 
 SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -36,6 +37,16 @@ _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in bytes(range(256
 #: Punctuation outside ASCII that is taken for white space.
 _MARKS = "‘’“”„«»‹›–—…¿¡"
 
+class Hashes(dict):
+    """Word to its 64-bit hash; forgets all when it gets too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
 _hashes = Hashes()
 
 

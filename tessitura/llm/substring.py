@@ -20,13 +20,14 @@ Neither changes a result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain, compress
+from functools import cached_property
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,8 +36,8 @@ from .common import materialise, slices
 
 LEAST = 35
 SEED_WORDS = 12
-#: Words that are hashed together; longer documents are cut in blocks that overlap.
-BLOCK = 1 << 20
+#: Bytes whose words are hashed together.
+BLOCK = 1 << 21
 #: Bytes of a window's hash that travel with its seed, of which it is given 64 bits more.
 KEPT = 5
 #: Seeds with over 1 / SHARE of all occurrences are hot. A task's summary of its seeds has COUNTERS of them at most, so it
@@ -63,17 +64,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Hashes(dict):
-    """Word to its 64-bit hash; forgets all when it gets too large."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
-
-_hashes = Hashes()
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its 64-bit hash; words are what ASCII white space divides."""
+    places, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        part = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - at), at)
+        space = _SPACE[part]
+        if at + len(part) < len(data):  # a word goes on: it belongs to the next part, or to this one if it is all there is
+            ends = np.flatnonzero(space)
+            size = int(ends[-1]) + 1 if len(ends) else re.compile(rb"[\x20\x09-\x0D]|\Z").search(data, at).end() - at
+            part = np.frombuffer(data, np.uint8, size, at)
+            space = _SPACE[part]
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(part)), out=sums[1:])
+        hashes.append(mix((sums[stops] - sums[starts]) * _power(_INVERSE, len(part))[starts]))
+        places.append(starts + at)
+        at += len(part)
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def rolled(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
@@ -100,43 +113,35 @@ class Windows:
     """The windows of some texts: ``owner`` (number of the text), ``origin`` (first word), ``hashes``, and the seed's hash and place in each."""
 
     def __init__(self, texts: list[bytes], least: int, seed_words: int):
-        owners, offsets, parts = [], [], []
-        for k, text in enumerate(texts):
-            words = text.split()  # bytes: ASCII white space
-            for at in range(0, max(1, len(words) - least + 1), BLOCK):
-                part = words[at : at + BLOCK + least - 1]
-                if len(part) >= least:
-                    owners.append(k)
-                    offsets.append(at)
-                    parts.append(part)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        n = int(sizes.sum())
-        if not n:
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        ends = np.cumsum(lengths)
+        places, words = word_hashes(b"\n".join(texts))
+        before = np.searchsorted(places, np.concatenate([[0], ends]))
+        sizes = np.diff(before)
+        long = np.flatnonzero(sizes >= least)
+        if not len(long):
             self.owner = self.origin = self.place = np.zeros(0, np.int64)
             self.hashes = self.seed = np.zeros(0, np.uint64)
             return
-        words = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, n)
         grams, windows = rolled(words, seed_words, least)
         place = smallest(grams, least - seed_words + 1)
-        begins = np.cumsum(sizes) - sizes
-        edge = np.zeros(n + 1, np.int8)
-        edge[begins] += 1
-        edge[begins + sizes - least + 1] -= 1
-        starts = np.flatnonzero(np.cumsum(edge[:-1]))
-        block = np.repeat(np.arange(len(sizes)), sizes - least + 1)
-        self.owner = np.array(owners)[block]
-        self.origin = starts - begins[block] + np.array(offsets)[block]
+        count = sizes[long] - least + 1
+        self.owner = np.repeat(long, count)
+        self.origin = np.arange(len(self.owner)) - np.repeat(np.cumsum(count) - count, count)
+        starts = self.origin + before[self.owner]
         self.hashes, self.place = windows[starts], place[starts] - starts
         self.seed = grams[place[starts]]
 
+    @cached_property
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows occur several times here, and which are not the first of their kind."""
-        order = np.argsort(self.hashes, kind="stable")
-        same = self.hashes[order][1:] == self.hashes[order][:-1]
-        several, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        later[order[1:][same]] = True
-        several[order[1:][same]] = several[order[:-1][same]] = True
-        return several, later
+        """Which windows occur several times here, and which are all but one of their kind."""
+        order = np.argsort(self.hashes)
+        sorted_ = self.hashes[order]
+        same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+        several, others = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        others[order[same + 1]] = True
+        several[order[same + 1]] = several[order[same]] = True
+        return several, others
 
     def starts(self, chosen: np.ndarray, *changes: np.ndarray) -> np.ndarray:
         """Where runs of chosen windows in a row begin, which end also where one of ``changes`` does."""
@@ -147,7 +152,7 @@ class Windows:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows that repeat here: number of the text, first window, windows."""
-        chosen = np.flatnonzero(self.repeated()[0])
+        chosen = np.flatnonzero(self.repeated[0])
         first = self.starts(chosen)
         return self.owner[chosen][first], self.origin[chosen][first], np.diff(np.append(first, len(chosen)))
 
@@ -156,7 +161,7 @@ class Windows:
 
         A hot seed gives an occurrence for each window, with the window's hash as its seed.
         """
-        chosen = np.flatnonzero(~self.repeated()[1])
+        chosen = np.flatnonzero(~self.repeated[1])
         alone = np.isin(self.seed[chosen], hot) if len(hot) else np.zeros(len(chosen), bool)
         seed = np.where(alone, self.hashes[chosen], self.seed[chosen])
         at = self.origin + self.place

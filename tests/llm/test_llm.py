@@ -424,6 +424,20 @@ def test_small_slices_and_hot_seeds_change_nothing(spark, monkeypatch, limit):
     assert [got[k] for k, _ in rows] == want and 0 < sum(w[1] for w in want)
 
 
+@pytest.mark.parametrize("block", [7, 1 << 21])
+def test_word_hashes_tell_words_apart(monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng, signs, seen = np.random.default_rng(19), list(b"ab \n\t\x0b\x0c\rxyz\x1c\x85\xc3\xa9\x00"), {}
+    for _ in range(300):
+        text = bytes(int(x) for x in rng.choice(signs, rng.integers(0, 60)))
+        places, hashes = substring.word_hashes(text)
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        assert len(hashes) == len(words)
+        for word, value, at in zip(words, hashes.tolist(), places.tolist(), strict=True):
+            assert seen.setdefault(word, value) == value and text[at : at + len(word)] == word
+    assert len(set(seen.values())) == len(seen) > 500
+
+
 def test_summary_misses_no_frequent_value():
     rng, own, every = np.random.default_rng(18), substring.Summary(50), Counter()
     for _ in range(40):

@@ -527,12 +527,78 @@ def test_edited_copies_are_found(spark):
     filler = [f"f{rng.integers(5000)}" for _ in range(400)]
     rows = [(1, " ".join(filler[:100] + item + filler[100:])), (2, " ".join(filler[:50]) + " " + ", ".join(edited).upper()), (3, " ".join(filler)), (4, " ".join(filler[:9] + item[:8] + filler[9:])), (5, None), (6, ""), (None, " ".join(item)), (1, " ".join(item))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, "one two", 0), (3, None, 0), (None, " ".join(item), 0)], "item_id long, text string, doc_id long").drop("doc_id")
+    bench = spark.createDataFrame([(1, " ".join(item), 0), (2, "one two", 0), (3, None, 0), (None, " ".join(item), 0), (4, " -- ", 0)], "item_id long, text string, doc_id long").drop("doc_id")
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (None, 1)}
     assert got[1, 1].score == 1.0 and 0.6 < got[2, 1].score < 1 and (got[2, 1].start, got[2, 1].stop) == (51, 90)
     assert sorted(r.doc_id for r in decontamination.decontaminate(docs, bench).collect()) == [3, 4, 5, 6]
     assert decontamination.contaminated(docs.where("false"), bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
+    assert decontamination.decontaminate(docs, bench.where("false")).count() == len(rows) and decontamination.decontaminate(docs.where("false"), bench).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = " ".join(f"tok{k}" for k in range(30))
+    rows = [(None, "clean", "x")] * 3 + [(None, f"some {item} text", "x"), (None, None, "x"), (7, "clean too", "y"), (7, item, "y"), (7, item, "z"), (8, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumn("id", F.lit(1)).withColumn("text_key", F.lit("k")).withColumn("row", F.lit(2.5))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.decontaminate(docs, bench)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == {(None, "clean"): 3, (None, None): 1, (7, "clean too"): 1, (8, ""): 1}
+
+
+def test_short_items_are_found_whole(spark):
+    rows = [(1, "so ONE, two! three"), (2, "one two four"), (3, "three"), (4, "two one"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three"), (2, "one two"), (3, "Three.")], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench, threshold=1.0).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.stop) for r in got) == [(1, 1, 1, 4), (1, 2, 1, 3), (1, 3, 3, 4), (2, 2, 0, 2), (3, 3, 0, 1)]
+    assert decontamination.decontaminate(docs, bench).count() == 5 and decontamination.decontaminate(docs, bench, 1.0, 2).count() == 3
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    rng = np.random.default_rng(20)
+    phrase = "to be read by all of you"
+    rows = [(k, " ".join(f"d{rng.integers(10**6)}" for _ in range(30)) + f" {phrase} end{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = [(k, f"{phrase} " + " ".join(f"i{rng.integers(10**6)}" for _ in range(30))) for k in range(300)]
+    items = decontamination.Items(own)
+    found = decontamination.scan(decontamination.whole_rows(docs), items, 0.5)
+    assert found.where("n IS NULL").count() == 0 and {r.n for r in found.groupBy("item", "start").agg(F.sum("n").alias("n")).collect()} == {200}
+    assert decontamination.contaminated(docs, spark.createDataFrame(own, "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("share", "recall"), [(0.1, 1.0), (0.2, 0.97), (0.25, 0.9)])
+def test_recall_of_edited_copies(spark, share, recall):
+    """Words are replaced, dropped and added at random places."""
+    rng = np.random.default_rng(int(share * 100))
+    items = [(k, [f"w{rng.integers(3000)}" for _ in range(rng.integers(15, 60))]) for k in range(150)]
+    rows = []
+    for k, words in items:
+        out = []
+        for w in words:
+            change = rng.random()
+            out += [w] if change > share else [f"z{rng.integers(3000)}"] if change > share / 2 else [] if change > share / 4 else [w, f"z{rng.integers(3000)}"]
+        filler = [f"w{rng.integers(3000)}" for _ in range(200)]
+        rows.append((k, " ".join(filler[:99] + out + filler[99:])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert all(r.doc_id == r.item_id for r in got) and len(got) >= recall * len(items)
+
+
+def test_alignments_of_documents_equal_brute_force(spark):
+    """Every item is aligned with every whole text."""
+    docs, bench = documents(spark), table(spark, SMALL, "benchmark").toPandas()
+    items, want = decontamination.Items(list(bench[["item_id", "text"]].itertuples(index=False, name=None))), {}
+    for d in docs.itertuples():
+        words = substring.word_hashes(decontamination.plain(d.text))[1]
+        for number, item in enumerate(items.ids):
+            own = items.words[number]
+            if len(words) and items.bound(number, words) >= len(own):
+                score = decontamination.align(own, words)[0] / (2 * len(own))
+                if score >= 0.5:
+                    want[d.doc_id, item] = round(score, 6)
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op8_decontamination(spark, SMALL).collect()}
+    assert want and got == want
 
 
 @pytest.mark.parametrize("percent", [60, 80, 100])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders that were handed out and not released yet, by Spark application.
-_made: dict[str, list[str]] = {}
+#: Folders that were handed out and not released yet, by Spark application and thread.
+_made: dict[tuple[str, int], list[str]] = {}
+
+
+def _own(spark: SparkSession) -> list[str]:
+    return _made.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -42,18 +47,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = "file:///tmp/checkpoints/tessitura"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tessitura-{purpose}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _own(spark).append(path)
     return path
 
 
 def made(spark: SparkSession) -> list[str]:
-    """The folders handed out so far that weren't released."""
-    return list(_made.get(spark.sparkContext.applicationId, ()))
+    """The folders handed out to this thread so far that weren't released."""
+    return list(_own(spark))
 
 
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes folders of ``shared_dir`` that nothing reads any more."""
-    known = _made.get(spark.sparkContext.applicationId, [])
+    known = _own(spark)
     for path in list(paths):
         if path in known:
             known.remove(path)
@@ -70,7 +75,14 @@ def materialise(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for ``df``, which nothing may read any more."""
+    release(df.sparkSession, [df._scratch])
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:

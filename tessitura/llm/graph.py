@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(step)
         left = step.select("u", F.col("parent").alias("pu"))
         right = step.select(F.col("u").alias("v"), F.col("parent").alias("pv"))
-        links = materialise(_tidy(links.join(left, "u").join(right, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "links")
+        before, links = links, materialise(_tidy(links.join(left, "u").join(right, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "links")
+        discard(before)
     if not maps:
         return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = maps[0].select(F.col("u").alias("node"), F.col("parent").alias("root"))

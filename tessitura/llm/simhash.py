@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, whole_rows
 from .graph import components
 
 SEED = 42
@@ -428,13 +428,17 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) ->
 
     Rows without a doc_id come after those with one. Of rows that repeat a
     doc_id the one whose text has the smaller hash comes first, and of rows
-    that are equal in both one stays.
+    that are equal in both one stays. Null texts count as empty, and texts
+    without a word are copies of each other. Columns may have any names and
+    return as they were; an empty table gives no rows.
     """
-    groups = similar_groups(docs, shingle, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    chosen = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
-    twice = groups.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_of_text") == F.col("_text"))
-    kept = docs.withColumn("_key_of_text", F.xxhash64("text")).join(chosen, same, "left_semi")
-    once = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_key_of_text"]))
-    return once.select(*docs.columns)
+    every = similar_groups(docs, shingle, similarity).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("first")
+    chosen = materialise(every.groupBy("root").agg(first).select(F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_text"), "first.n"), "chosen")
+    rows = whole_rows(docs).withColumn("text_key", F.xxhash64("row.text"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_text")))
+    once = kept.where("n = 1").select("row.*")
+    if chosen.where("n > 1").isEmpty():  # the texts are joined once more only for rows that repeat
+        return once
+    twice = kept.where("n > 1").groupBy("id", "text_key").agg(F.first("row").alias("row"))
+    return once.unionByName(twice.select("row.*"))

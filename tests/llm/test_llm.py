@@ -251,7 +251,8 @@ def test_kneser_ney_equals_its_definition(spark):
     rows = [(" ".join(rng.choice(["the", "cat", "Cat,", "été", "vile", "so-so", "x1", "foo", "bar", *(f"r{k}" for k in range(60))], rng.integers(1, 9))), int(k % 3 == 0)) for k in range(40)] + [("vile foul", 1), ("", 0), ("nice day", 0)]
     (ordinary, toxic), both = slow_models(rows)
     assert all(abs(sum(p(w) for w in both) + p("unseen") - 1) < 1e-9 for p in (ordinary, toxic))
-    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = toxicity.train(toxicity.deflated(docs).join(docs.select("doc_id", "toxic"), "doc_id"))
     for text in [*both, "unseen", "the cat sat on VILE; mats", "été été bar"]:
         want = sorted((np.log(toxic(w) / ordinary(w)) for w in re.findall(r"[^\W_]+", text.lower())), reverse=True)
         passage, whole = model.features([None, text, ""])
@@ -259,7 +260,7 @@ def test_kneser_ney_equals_its_definition(spark):
 
 
 def test_signs_without_blanks_are_words():
-    words, begins = toxicity.words_of(["\u4e2d\u6587 abc", "\u6587"])
+    words, begins = toxicity.hashed([toxicity.prepared(x) for x in ("\u4e2d\u6587 abc", "\u6587")])
     assert begins.tolist() == [0, 3, 4] and words[1] == words[3] != words[0]
 
 

@@ -69,16 +69,26 @@ class Coder:
         for token, rank in table.items():
             self.leads[rank] = token.startswith(b" ")
         self.known: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
-    def learn(self, chunks: list[str], known: dict[str, bytes]) -> None:
-        """Codes chunks together: a token that starts with a space starts a chunk."""
+    def coded(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Codes chunks together: a token that starts with a space starts a chunk. Yields chunks, all their ids, and where each one's begin."""
         for at in range(0, len(chunks), 50_000):
             part = chunks[at : at + 50_000]
             ids = self.fast.encode_to_numpy(" " + " ".join(part)).astype("<u4")
-            starts = (np.flatnonzero(self.leads[ids]) * 4).tolist()
-            data = ids.tobytes()
-            starts.append(len(data))
-            known.update(zip(part, map(data.__getitem__, map(slice, starts, starts[1:])), strict=True))
+            yield part, ids, np.append(np.flatnonzero(self.leads[ids]), len(ids))
+
+    def parts(self, texts: list[str], known: dict) -> tuple[list[list[str] | None], list[str]]:
+        """The chunks of each text (None where they don't hold), and those that aren't known, for which there is room then."""
+        parts = [text.split(" ") if self.regular(text) else None for text in texts]
+        missing: set[str] = set()
+        for chunks in parts:
+            if chunks:
+                missing.update(chunks)
+        if len(known) + len(missing) > CACHE:
+            known.clear()  # what these texts need may be more than is remembered, but a slice bounds it
+        missing.difference_update(known)
+        return parts, list(missing)
 
     def whole_text(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -90,15 +100,10 @@ class Coder:
 
     def code(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        parts = [text.split(" ") if self.regular(text) else None for text in texts]
-        missing: set[str] = set()
-        for chunks in parts:
-            if chunks:
-                missing.update(chunks)
-        if len(self.known) + len(missing) > CACHE:
-            self.known = {}  # what these texts need may be more than is remembered, but a slice bounds it
-        missing.difference_update(self.known)
-        self.learn(list(missing), self.known)
+        parts, missing = self.parts(texts, self.known)
+        for chunks, ids, starts in self.coded(missing):
+            data, places = ids.tobytes(), (starts * 4).tolist()
+            self.known.update(zip(chunks, map(data.__getitem__, map(slice, places, places[1:])), strict=False))
         known, out = self.known.__getitem__, []
         for text, chunks in zip(texts, parts, strict=True):
             if chunks is None:
@@ -108,6 +113,19 @@ class Coder:
                 out.append(first + b"".join(map(known, chunks[1:])))
         return out
 
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        parts, missing = self.parts(texts, self.sizes)
+        for chunks, _, starts in self.coded(missing):
+            self.sizes.update(zip(chunks, np.diff(starts).tolist(), strict=True))
+        size, out = self.sizes.__getitem__, []
+        for text, chunks in zip(texts, parts, strict=True):
+            if chunks is None:
+                out.append(len(self.whole_text(text)) // 4 if text else 0)
+            else:
+                out.append(len(self.fast.encode_to_numpy(chunks[0])) + sum(map(size, chunks[1:])))
+        return out
+
 
 def coder(name: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> Coder:
     if (name, ranks) not in _coders:

@@ -124,7 +124,7 @@ def test_coder_equals_the_tokenizer():
     own = packing.coder()
     for _ in range(400):
         text = "".join(rng.choice(signs) for _ in range(rng.integers(0, 25)))
-        assert own.code([text])[0] == own.whole_text(text)
+        assert own.code([text])[0] == own.whole_text(text) and own.count([text])[0] * 4 == len(own.whole_text(text))
 
 
 # 2: language identification

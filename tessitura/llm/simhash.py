@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 SIGNATURE, BAND = 120, 6
 SIMILAR = 0.8
 #: Nodes of a piece and shingles in it; and nodes of a larger group that are in each of its pieces, about.
-PIECE, PIECE_SHINGLES, PIVOTS = 20_000, 2_000_000, 500
+PIECE, PIECE_SHINGLES, PIVOTS = 1_000, 1_000_000, 100
 _FACTORS = np.random.default_rng(9).integers(1 << 60, 1 << 63, SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -217,11 +217,12 @@ class Summary:
 
 
 def hot_seeds(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS, share: int = SHARE, counters: int = COUNTERS) -> np.ndarray:
-    """All seeds with over 1 / ``share`` of the occurrences, and maybe some with little less.
+    """All seeds with over 1 / ``share`` of the occurrences and one more a task, and maybe some with little less.
 
     Counted over all texts. Each task returns a summary of ``counters`` rows
-    at most, and fewer than ``share * counters / (counters - share)`` seeds
-    can have as much as is asked for, so the list is bounded too.
+    at most, without those that are once in its texts or at most as often as
+    its counts may be wrong. Fewer than ``share * counters / (counters - 2 *
+    share)`` seeds can have as much as is asked for, so the list is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +232,13 @@ def hot_seeds(docs: DataFrame, least: int = LEAST, seed_words: int = SEED_WORDS,
             if len(found.seed):
                 summary.add(*np.unique(found.occurrences(np.zeros(0, np.uint64))[1].view(np.int64), return_counts=True))
         if summary.total:
-            values, counts = pa.array([None, *summary.values.tolist()], pa.int64()), pa.array([summary.total, *summary.counts.tolist()], pa.int64())
+            often = summary.counts > max(1, summary.total // counters)
+            values, counts = pa.array([None, *summary.values[often].tolist()], pa.int64()), pa.array([summary.total, *summary.counts[often].tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([values, counts], names=["seed", "n"])
 
     counted = materialise(docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seeds")
     total = counted.where("seed IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least_count = total / share - total / counters
+    least_count = total / share - 2 * total / counters
     got = counted.where(F.col("seed").isNotNull() & (F.col("n") > least_count)).select("seed").toArrow()["seed"].to_numpy()
     return np.sort(got.view(np.uint64))
 

@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -50,9 +51,18 @@ def classify(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     )
 
 
-def _plain(value) -> str:
+def _plain(value: str) -> str:
     """A header's value in one line."""
-    return re.sub(r"[\r\n]+", " ", "" if value is None else str(value))
+    return re.sub(r"[\r\n]+", " ", value)
+
+
+def _urn(page_id) -> str:
+    """The name of a page's record. Every sign that a header can't hold is escaped, so the id can be read back."""
+    return f"<urn:x-page:{quote('' if page_id is None else str(page_id), safe='')}>"
+
+
+def _id(urn: str) -> str | None:
+    return unquote(urn[len("<urn:x-page:") : -1]) if urn else None
 
 
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
@@ -61,15 +71,15 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> b
     block = http if kind == "revisit" else http + payload
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:x-page:{_plain(page_id)}>"),
+        ("WARC-Record-ID", _urn(page_id)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", _plain(url)),
+        *([] if url is None else [("WARC-Target-URI", _plain(url))]),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     if kind == "revisit":
-        fields[2:2] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:x-page:{_plain(refers_to)}>")]
+        fields[2:2] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to))]
     head = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(b"WARC/1.1\r\n" + head + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -116,8 +126,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
             columns = [numbers(batch, x) for x in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
             for page, url, payload, digest, what, refers in zip(*columns, strict=True):
                 if out is None:
-                    name, offset = f"{uuid.uuid4().hex}.warc", 0
-                    out = store.open_output_stream(f"{root}/{name}")
+                    name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)  # members are gzipped already
                 data = record(page, url, payload, digest, what, refers)
                 out.write(data)
                 rows.append((name, offset, len(data), url, digest, page, what))
@@ -156,8 +166,9 @@ def read(selected: DataFrame) -> DataFrame:
 
     Returns page_id, url, record_type, refers_to, digest, payload_bytes (of the
     full payload, for revisits from their HTTP header), payload (null for
-    revisits) and ``intact``: whether the payload has the digest. Nothing
-    selected gives no rows.
+    revisits) and ``intact``: whether the payload has the digest. A page
+    without a URL has none here either; line breaks in a URL become blanks;
+    ids may hold any signs. Nothing selected gives no rows.
     """
     kind = selected.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, record_type string, refers_to {kind}, digest string, payload_bytes long, payload binary, intact boolean"
@@ -179,9 +190,8 @@ def read(selected: DataFrame) -> DataFrame:
                     fields, http, payload = parse(data[at : at + r["length"]])
                     digest, what = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    refers = fields.get("WARC-Refers-To", "")[len("<urn:x-page:") : -1]
                     own = what != "revisit"
-                    rows.append((r["page_id"], fields["WARC-Target-URI"], what, refers or None, digest, size, payload if own else None, hashlib.sha1(payload).hexdigest() == digest and len(payload) == size if own else None))
+                    rows.append((r["page_id"], fields.get("WARC-Target-URI"), what, _id(fields.get("WARC-Refers-To", "")), digest, size, payload if own else None, hashlib.sha1(payload).hexdigest() == digest and len(payload) == size if own else None))
                 got = list(zip(*rows, strict=True))
                 refers = pa.array(got[3], type=pa.string()).cast(arrow)
                 types = [arrow, pa.string(), pa.string(), None, pa.string(), pa.int64(), pa.binary(), pa.bool_()]

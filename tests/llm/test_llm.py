@@ -845,6 +845,15 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.where("false"))).count() == 0
 
 
+def test_warc_of_any_names(spark):
+    big = "y" * 1200
+    rows = [("a\n\na", None, big), ("a", "u\nv", big), (" <é> ", "", big), ("z: %41", "x", "short"), (None, None, None)]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()
+    top = max(r[0] for r in rows if r[2] == big)
+    assert {(r.page_id, r.url) for r in got} == {("a\n\na", None), ("a", "u v"), (" <é> ", ""), ("z: %41", "x"), (None, None)}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {top} and sum(r.record_type == "revisit" for r in got) == 2
+
+
 def test_warc_equals_sql(spark):
     from oracle import connect, same
 

@@ -44,8 +44,12 @@ def active(intervals: DataFrame, key: str, label: str) -> DataFrame:
 def turns_to_rttm(segments: DataFrame, key: str) -> DataFrame:
     """Labelled segments in order of start as speaker turns.
 
-    Equal labels without a gap are one turn; turns of different labels that
-    overlap are both cut in the middle of the overlap.
+    Equal labels without a gap are one turn, up to the later of their stops;
+    turns of different labels that overlap are both cut in the middle of the
+    overlap. Of a turn inside another of a different label the overlap is its
+    own length, so the outer one ends there; one that lies wholly before the
+    start of the turn that is open by then goes. No turn is empty or shrinks
+    below 0.
     """
     fields = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
 
@@ -53,12 +57,14 @@ def turns_to_rttm(segments: DataFrame, key: str) -> DataFrame:
         data = data.sort_by([("start", "ascending"), ("stop", "ascending"), ("label", "ascending")])
         out: list[list] = []
         for start, stop, label in zip(data["start"].to_pylist(), data["stop"].to_pylist(), data["label"].to_pylist(), strict=True):
-            if out and label == out[-1][2]:
-                if start <= out[-1][1]:
-                    out[-1][1] = stop
-                    continue
-            elif out and start < out[-1][1]:
-                out[-1][1] = start = (out[-1][1] + start) / 2
+            last = out[-1] if out else None
+            if last and label == last[2] and start <= last[1]:
+                last[1] = max(last[1], stop)
+                continue
+            if last and max(start, last[0]) >= stop:
+                continue
+            if last and label != last[2] and start < last[1]:
+                last[1] = start = (max(start, last[0]) + min(last[1], stop)) / 2
             out.append([start, stop, label])
         names = pa.array([data[key][0].as_py()] * len(out), data.schema.field(key).type)
         return pa.table({key: names, "turn": pa.array(range(len(out)), pa.int32()), "start": pa.array([x[0] for x in out], pa.float64()), "stop": pa.array([x[1] for x in out], pa.float64()), "label": pa.array([x[2] for x in out], data.schema.field("label").type)})
@@ -111,3 +117,50 @@ def speaker_mapping(overlaps: DataFrame, key: str) -> DataFrame:
         return pa.table({key: names, "ref": pa.array([refs[i] for i, _ in pairs], data.schema.field("ref").type), "hyp": pa.array([hyps[j] for _, j in pairs], data.schema.field("hyp").type)})
 
     return overlaps.select(key, "ref", "hyp", "seconds").groupBy(key).applyInArrow(run, f"`{key}` {fields[key]}, ref {fields['ref']}, hyp {fields['hyp']}")
+
+
+def scored_cells(ref: DataFrame, hyp: DataFrame, key: str, collar: float = 0.0) -> DataFrame:
+    """Elementary intervals of labelled segments of both sides: key, seconds, refs, hyps (sorted labels) and near.
+
+    ``near`` says that the interval lies within ``collar`` of where a
+    reference segment starts or stops.
+    """
+    side = lambda rows, mark: rows.select(key, F.concat(F.lit(mark), F.col("label").cast("string")).alias("_who"), "start", "stop")
+    ends = ref.select(key, F.explode(F.array("start", "stop")).alias("_t")).distinct()
+    collars = ends.select(key, F.lit("x").alias("_who"), (F.col("_t") - collar).alias("start"), (F.col("_t") + collar).alias("stop"))
+    named = side(ref, "r").unionByName(side(hyp, "h"))
+    cells = active(named.unionByName(collars) if collar > 0 else named, key, "_who")
+    of = lambda mark: F.transform(F.filter("labels", lambda x: x.startswith(mark)), lambda x: F.substr(x, F.lit(2)))
+    return cells.select(key, (F.col("stop") - F.col("start")).alias("seconds"), of("r").alias("refs"), of("h").alias("hyps"), F.array_contains("labels", "x").alias("near"))
+
+
+def shared_seconds(cells: DataFrame, key: str) -> DataFrame:
+    """key, ref, hyp and the seconds that both speak in."""
+    pairs = cells.select(key, "seconds", "hyps", F.explode("refs").alias("ref")).select(key, "seconds", "ref", F.explode("hyps").alias("hyp"))
+    return pairs.groupBy(key, "ref", "hyp").agg(F.sum("seconds").alias("seconds"))
+
+
+def diarization_report(ref: DataFrame, hyp: DataFrame, key: str, collar: float = 0.0, skip_overlap: bool = False) -> DataFrame:
+    """Seconds scored, missed, false_alarm and confused, and the error rate (der, in percent), by recording and over ALL.
+
+    Speakers are mapped one to one so that they share most time, over all of a
+    recording; then collars and, with ``skip_overlap``, what several reference
+    speakers say at once are left out. Without scored time the rate is 0, or
+    100 if there are errors.
+    """
+    cells = scored_cells(ref, hyp, key, collar)
+    pairs = speaker_mapping(shared_seconds(cells, key), key)
+    pairs = pairs.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("ref", "hyp")).alias("_pairs"))
+    kept = cells.where(~F.col("near") & (F.size("refs") < 2 if skip_overlap else F.lit(True)) & (F.size("refs") + F.size("hyps") > 0))
+    right = F.filter(F.coalesce("_pairs", F.array()), lambda p: F.array_contains(F.col("refs"), p["ref"]) & F.array_contains(F.col("hyps"), p["hyp"]))
+    joined = kept.join(pairs, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_right", F.size(right))
+    r, h, s, zero = F.size("refs"), F.size("hyps"), F.col("seconds"), F.lit(0)
+    sums = joined.withColumn("_name", F.coalesce(F.col(key).cast("string"), F.lit(""))).rollup("_name").agg(
+        F.sum(s * r).alias("scored"),
+        F.sum(s * F.greatest(r - h, zero)).alias("missed"),
+        F.sum(s * F.greatest(h - r, zero)).alias("false_alarm"),
+        F.sum(s * (F.least(r, h) - F.col("_right"))).alias("confused"),
+    )
+    errors = F.col("missed") + F.col("false_alarm") + F.col("confused")
+    der = F.when(F.col("scored") > 0, 100 * errors / F.col("scored")).when(errors > 0, F.lit(100.0)).otherwise(F.lit(0.0))
+    return sums.select(F.coalesce("_name", F.lit("ALL")).alias("condition"), "scored", "missed", "false_alarm", "confused", der.alias("der"))

@@ -46,10 +46,6 @@ def merge_regions(spark, sf_dir):
     return intervals.merged(_segments(spark, sf_dir), "rec").select("rec", "start", "stop")
 
 
-@register()
-def rttm_merge(spark, sf_dir):
-    return intervals.turns_to_rttm(_segments(spark, sf_dir), "rec")
-
 
 @register(f"WITH {_SQL_SEG} SELECT rec AS file, '0' AS channel, round(start, 2) AS start, round(round(start, 2) + round(stop - start, 2), 2) AS stop, label AS speaker FROM seg")
 def rttm_roundtrip(spark, sf_dir):
@@ -137,13 +133,6 @@ def der_totals(spark, sf_dir):
     )
 
 
-@register()
-def speaker_mapping(spark, sf_dir):
-    seg = _segments(spark, sf_dir)
-    other = seg.where("event_id % 3 <> 0").select("rec", F.col("label").alias("hyp"), (F.col("start") + 1).alias("v_start"), (F.col("stop") + 1).alias("v_stop"))
-    shared = joins.overlap_join(seg, other, "rec", 60.0).groupBy("rec", F.col("label").alias("ref"), "hyp").agg(F.sum(F.least("stop", "v_stop") - F.greatest("start", "v_start")).alias("seconds"))
-    return intervals.speaker_mapping(shared, "rec")
-
 
 @register("""SELECT conv_id, turn, text || CASE WHEN right(text, 1) IN ('.', '!', '?', ',') THEN '' WHEN lead(role) OVER w IS DISTINCT FROM role THEN '.' ELSE ',' END AS repaired FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def punct_repair(spark, sf_dir):

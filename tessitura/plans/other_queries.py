@@ -26,11 +26,6 @@ def clip_summary(spark, sf_dir):
     return means.agg(F.count("*").alias("n"), *(F.round(f("m"), 6).alias(n) for n, f in (("mean", F.avg), ("deviation", F.stddev_samp), ("low", F.min), ("high", F.max))))
 
 
-@register("""SELECT bin, sum(n) OVER (ORDER BY bin)::BIGINT AS reached FROM (SELECT CAST(floor(abs(value) * 10) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1)""")
-def score_histogram(spark, sf_dir):
-    bins = read(spark, sf_dir, "events").groupBy(F.floor(F.abs("value") * 10).alias("bin")).agg(F.count("*").alias("n"))
-    return bins.select("bin", F.sum("n").over(Window.orderBy("bin")).alias("reached"))
-
 
 @register("SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 100")
 def top_words(spark, sf_dir):
@@ -150,11 +145,6 @@ def best_word(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("best"))
 
 
-@register("SELECT c_mktsegment AS ref_type, o_orderstatus AS sys_type, count(*) AS n, round(sum(o_totalprice), 2) AS seconds FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
-def type_matrix(spark, sf_dir):
-    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(F.col("c_mktsegment").alias("ref_type"), F.col("o_orderstatus").alias("sys_type")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("seconds"))
-
 
 @register(f"""SELECT rec, CASE WHEN scored > 0 THEN round(100 * (missed + false_alarm + confused) / scored, 4) WHEN missed + false_alarm + confused > 0 THEN 100.0 ELSE 0.0 END AS der FROM ({interval_queries._SQL_DER})""")
 def der_rates(spark, sf_dir):
@@ -193,7 +183,3 @@ def positional_pairs(spark, sf_dir):
 def speaker_join(spark, sf_dir):
     return read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
 
-
-@register("SELECT event_type, CAST(round(sum(value > 20)::DOUBLE / count(*), 6) AS DOUBLE) AS insertions, round(avg(abs(value)) / 100, 6) AS deletions FROM events GROUP BY event_type")
-def wer_breakdown(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.count_if(F.col("value") > 20) / F.count("*"), 6).alias("insertions"), F.round(F.avg(F.abs("value")) / 100, 6).alias("deletions"))

@@ -177,15 +177,6 @@ def binary_metrics(spark, sf_dir):
     return got.select(ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.round((tp + tn) / F.col("n"), 6).alias("accuracy"))
 
 
-@register("""SELECT round(sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN p = 1 THEN 1 ELSE 0 END) + 1e-10), 6) AS precision, round(sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) + 1e-10), 6) AS recall, count(*) AS n
-FROM (SELECT CASE WHEN event_id % 5 = 0 THEN -100 WHEN value > 20 THEN 1 ELSE 0 END AS y, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS p FROM events) WHERE y <> -100""")
-def masked_metrics(spark, sf_dir):
-    y = F.when(F.pmod("event_id", F.lit(5)) == 0, -100).when(F.col("value") > 20, 1).otherwise(0)
-    rows = read(spark, sf_dir, "events").select(y.alias("y"), F.when(F.pmod("user_id", F.lit(3)) == 0, 1).otherwise(0).alias("p")).where("y <> -100")
-    sums = metrics.binary_counts(F.col("y"), F.col("p"))
-    got = rows.agg(*(v.alias(k) for k, v in sums.items()), F.count("*").alias("n"))
-    return got.select(F.round(F.col("tp") / (F.col("tp") + F.col("fp") + 1e-10), 6).alias("precision"), F.round(F.col("tp") / (F.col("tp") + F.col("fn") + 1e-10), 6).alias("recall"), "n")
-
 
 @register("""SELECT coalesce(event_type, 'all') AS event_type, round(avg(abs(value - 10)), 6) AS mae, round(avg(abs(value - 10) / (abs(value) + 1)), 6) AS mre FROM events GROUP BY ROLLUP (event_type)""")
 def per_language_error(spark, sf_dir):
@@ -260,20 +251,3 @@ def dedupe_or_fail(spark, sf_dir):
     return checked.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@register()
-def wer_pairs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(40)).alias("item_id"), F.col("text").alias("hyp"))
-    pairs = docs.join(read(spark, sf_dir, "benchmark").withColumnRenamed("text", "ref"), "item_id")
-    words = F.size(F.filter(F.split("ref", r"\s+"), lambda w: w != ""))
-    scored = pairs.select("doc_id", metrics.word_edits("ref", "hyp").alias("edits"), words.cast("long").alias("words"))
-    return scored.select("doc_id", "edits", "words", metrics.error_rate(F.col("edits"), F.col("words")).alias("wer"))
-
-
-@register("""WITH p AS (SELECT item_id % 4 AS part, levenshtein(a, b) AS e, length(a) AS n FROM (SELECT x.item_id, regexp_replace(x.text, '[^a-z]', '', 'g') AS a, regexp_replace(y.text, '[^a-z]', '', 'g') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1))
-SELECT part, round(sum(e) / sum(n), 6) AS corpus_rate, round(avg(CASE WHEN n > 0 THEN e / n WHEN e > 0 THEN 'inf'::DOUBLE ELSE 0 END), 6) AS mean_rate FROM p GROUP BY part""")
-def wer_corpus(spark, sf_dir):
-    """Rates by letter: word edits are by letter once every word is written as one sign, and only ASCII counts alike in all engines."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^a-z]", "").alias("a"))
-    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    pairs = items.join(other, "item_id").select(F.pmod("item_id", F.lit(4)).alias("part"), F.levenshtein("a", "b").alias("e"), F.length("a").alias("n"))
-    return pairs.groupBy("part").agg(F.round(F.sum("e") / F.sum("n"), 6).alias("corpus_rate"), F.round(F.avg(metrics.error_rate(F.col("e"), F.col("n"))), 6).alias("mean_rate"))

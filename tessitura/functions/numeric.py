@@ -99,3 +99,35 @@ def sub_starts(start: Column, stop: Column, size: float, shift: float) -> Column
     tail = F.struct(F.round(F.greatest(F.least(stop - size, after), start), 2).alias("start"), F.round(stop, 2).alias("stop"))
     none = F.array().cast("array<struct<start:double,stop:double>>")
     return F.concat(F.coalesce(regular, none), F.when(after < stop, F.array(tail)).otherwise(none))
+
+
+def class_rate(index: Column) -> Column:
+    """The rate that a class stands for: where ``rate_class`` starts to give it."""
+    return (index + 1) * RATE_STEP
+
+
+def clipped(x: Column) -> Column:
+    return F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
+
+
+def limited(x: Column, knee: float = 0.8) -> Column:
+    """Samples up to the knee as they are, louder ones bent below 1 by a hyperbolic tangent."""
+    over = (F.abs(x) - knee) / (1 - knee)
+    return F.when(F.abs(x) <= knee, x).otherwise(F.signum(x) * (knee + (1 - knee) * F.tanh(over)))
+
+
+def spoken_frames(units: Column, rate: Column, speed: Column) -> Column:
+    """Frames of a text of so many units: under four of them are spoken at half speed at most, and a second is the least."""
+    slowed = F.when(units < 4, F.least(speed, F.lit(0.5))).otherwise(speed)
+    return frames(F.greatest(F.lit(1.0), units / F.greatest(rate, F.lit(0.1)) / slowed))
+
+
+def prefixed(tokens: Column, prompt: Column, total: Column, prefix: Column, anchors: Column) -> Column:
+    """A text's tokens after as many prefix tokens as its prompt's share of the time asks for, and the anchors; no prefix, no anchors."""
+    n = prefix_length(prompt, total, F.size(tokens))
+    return F.when(n > 0, F.concat(F.array_repeat(prefix, n), anchors, tokens)).otherwise(tokens)
+
+
+def seconds(milliseconds: Column) -> Column:
+    """Whole milliseconds in seconds of two places, halves up."""
+    return F.floor((milliseconds + 5) / 10) / 100

@@ -194,3 +194,24 @@ def chunks_within(text: Column, most: int) -> Column:
     end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.trim(s["open"]))))
     got = F.aggregate(sentence, zero, add, end)
     return F.when(F.size(got) > 0, got).otherwise(F.array(F.trim(text)))
+
+
+def tokens(text: Column, version: Column) -> Column:
+    """Tokens by the tokenizer's version; none for a version that isn't known."""
+    return F.when(version == "ipa_v6", tokens_v6(text)).when(version == "ipa_v3", tokens_v3(text)).otherwise(F.array().cast("array<string>"))
+
+
+def strict_lookup(value: Column, known: dict) -> Column:
+    """What a value is called; one without a name is an error."""
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.coalesce(F.element_at(names, value), F.raise_error(F.concat(F.lit("unknown value "), value.cast("string"))).cast("string"))
+
+
+# Punctuation that one kind of scoring leaves out.
+LISTED_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､　、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏﹑﹔·．！？｡。"
+
+
+def normalise_by_list(text: Column, lang: Column) -> Column:
+    """Without listed punctuation, two blanks as one; English in lower case, Chinese spaced by character."""
+    text = F.replace(F.translate(text, LISTED_PUNCTUATION, ""), F.lit("  "), F.lit(" "))
+    return F.when(lang == "zh", spaced_characters(text)).when(lang == "en", F.lower(text)).otherwise(text)

@@ -159,3 +159,40 @@ def vectorised(rows: DataFrame, function, schema: str) -> DataFrame:
             yield function(batch)
 
     return rows.mapInArrow(run, schema)
+
+
+def falling_batches(rows: DataFrame, group: str, key: str, length: str, budget: float) -> DataFrame:
+    """Batches of a group's rows in falling length: the first row of a batch says how many of its length fit, one at least."""
+    picked = rows.select(group, key, length)
+    fields = {f.name: f.dataType.simpleString() for f in picked.schema.fields}
+
+    def run(data: pa.Table) -> pa.Table:
+        data = data.sort_by([(length, "descending"), (key, "descending")])
+        sizes, out = data[length].to_pylist(), []
+        while len(out) < len(sizes):
+            room = max(int(budget / sizes[len(out)]), 1) if sizes[len(out)] else len(sizes)
+            out += [(out[-1] + 1) if out else 0] * min(room, len(sizes) - len(out))
+        return data.select([group, key]).append_column("batch", pa.array(out, pa.int32()))
+
+    return picked.groupBy(group).applyInArrow(run, f"`{group}` {fields[group]}, `{key}` {fields[key]}, batch int")
+
+
+def interpolated(seen: DataFrame, group: str, place: str, value: str) -> DataFrame:
+    """Values at all places from a group's first to its last; those between two seen ones lie on the line between them."""
+    order = Window.partitionBy(group).orderBy(place)
+    ahead = seen.select(group, place, value, F.lead(place).over(order).alias("_next"), F.lead(value).over(order).alias("_value"))
+    last = F.greatest(F.coalesce(F.col("_next") - 1, F.col(place)), F.col(place))
+    filled = ahead.select("*", F.explode(F.sequence(F.col(place), last)).alias("_at"))
+    step = (F.col("_value") - F.col(value)) * (F.col("_at") - F.col(place)) / (F.col("_next") - F.col(place))
+    return filled.select(group, F.col("_at").alias(place), (F.col(value) + F.coalesce(step, F.lit(0.0))).alias(value))
+
+
+def by_voice(rows: DataFrame, group: str, order: str, voice: str, text: str) -> DataFrame:
+    """group, voice and its segments in order: neighbouring rows of a voice are one segment, of ``first`` (its first place) and ``text``."""
+    w = Window.partitionBy(group).orderBy(order)
+    fresh = ~F.lag(voice).over(w).eqNullSafe(F.col(voice))
+    marked = rows.select(group, order, F.col(voice).alias("voice"), F.col(text).alias("_text"), F.when(fresh, F.col(order)).alias("_fresh"))
+    marked = marked.withColumn("first", F.max("_fresh").over(w))
+    parts = F.array_sort(F.collect_list(F.struct(order, "_text")))
+    merged = marked.groupBy(group, "voice", "first").agg(F.array_join(F.transform(parts, lambda x: x["_text"]), "").alias("text"))
+    return merged.groupBy(group, "voice").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("segments"))

@@ -148,10 +148,6 @@ def change_points(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("prior"), "role", before.alias("before")).where("prior <> role").select("conv_id", "turn", "before")
 
 
-@register()
-def sentence_windows(spark, sf_dir):
-    return ordered.length_windows(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 960, 320)
-
 
 @register("""SELECT user_id, event_id, round(CASE WHEN n = 1 THEN value ELSE s / c END, 6) AS smooth FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER o AS k FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) e,
 LATERAL (SELECT 1) x, LATERAL (SELECT sum(value) AS s, count(*) AS c FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS j FROM events f WHERE f.user_id = e.user_id) WHERE j BETWEEN e.k - 2 AND least(e.k + 2, e.n - 1)) y WHERE e.n > 0""")
@@ -163,16 +159,6 @@ def centred_smoothing(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round(F.when(F.col("n") == 1, F.col("value")).otherwise(F.avg(inner).over(near)), 6).alias("smooth"))
 
 
-@register("""SELECT user_id, k, a + (b - a) * ((k - x) / greatest(y - x, 1)) AS value FROM (SELECT user_id, event_id AS x, lead(event_id, 1, event_id) OVER w AS y, value AS a, lead(value, 1, value) OVER w AS b, unnest(range(event_id, least(lead(event_id, 1, event_id + 1) OVER w, event_id + 5))) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
-def interpolation(spark, sf_dir):
-    """Gaps between two observations are filled on a line, up to 4 places."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.col("value").alias("a"), F.coalesce(F.lead("event_id").over(w), F.col("event_id")).alias("y"), F.coalesce(F.lead("value").over(w), F.col("value")).alias("b"))
-    stop = F.greatest(F.least(F.col("y") - 1, F.col("x") + 4), F.col("x"))
-    filled = rows.select("*", F.explode(F.sequence("x", stop)).alias("k"))
-    part = (F.col("k") - F.col("x")) / F.greatest(F.col("y") - F.col("x"), F.lit(1))
-    return filled.select("user_id", "k", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("value"))
-
 
 @register(f"WITH {_SQL_SEG} SELECT event_id, unnest(range(0, greatest(CAST(floor((stop - start) * 100) AS BIGINT) - 500, 0), 300)) AS start FROM seg")
 def noise_clips(spark, sf_dir):

@@ -115,14 +115,6 @@ def frame_batches(spark, sf_dir):
     return ordered.frame_batches(read(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 8000, 16)
 
 
-@register("""WITH b AS (SELECT doc_id, n_chars, CAST(floor((n_chars - 4) / 40000.0 * 200) AS BIGINT) AS bucket FROM documents WHERE n_chars <= 40000)
-SELECT bucket, count(*) AS n, sum(n_chars)::BIGINT AS total FROM b GROUP BY bucket""")
-def length_buckets(spark, sf_dir):
-    bucket = F.floor((F.col("n_chars") - 4) / 40000.0 * 200)
-    rows = read(spark, sf_dir, "documents").where("n_chars <= 40000").select("doc_id", "n_chars", bucket.alias("bucket"))
-    batches = ordered.flush_batches(rows, "bucket", "doc_id", "n_chars", 20000)
-    return batches.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
-
 
 @register("""WITH RECURSIVE b AS (SELECT doc_id, n_chars, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT source, doc_id, n_chars, k, 0 AS batch, CASE WHEN n_chars >= 20000 THEN 0 ELSE n_chars END AS used, CASE WHEN n_chars >= 20000 THEN 1 ELSE 0 END AS next FROM b WHERE k = 1
@@ -132,15 +124,6 @@ def flush_batches(spark, sf_dir):
     return ordered.flush_batches(read(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20000)
 
 
-@register("""SELECT a.doc_id, arg_min(b.doc_id, md5(a.doc_id || ':' || b.doc_id)) AS chosen, count(*) AS n_candidates FROM (SELECT doc_id, source, octet_length(encode(text)) AS n FROM documents) a
-JOIN (SELECT doc_id, source, octet_length(encode(text)) AS n FROM documents) b ON a.source = b.source AND b.n BETWEEN 0.1 * a.n AND 0.4 * a.n GROUP BY a.doc_id""")
-def pair_by_length(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n"))
-    right = rows.select("source", F.col("doc_id").alias("other"), F.col("n").alias("m"))
-    pairs = joins.range_join(rows, right, ["source"], 0.1 * F.col("n"), 0.4 * F.col("n"), F.col("m"), 1000)
-    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("other").cast("string")))
-    return pairs.groupBy("doc_id").agg(F.min_by("other", order).alias("chosen"), F.count("*").alias("n_candidates"))
-
 
 @register("""SELECT d.doc_id, b.text AS target, l.quality AS prompt FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id LEFT JOIN labels l USING (doc_id)""")
 def testset_join(spark, sf_dir):

@@ -173,11 +173,6 @@ def trial_labels(spark, sf_dir):
     return rows.select("event_id", target.alias("target"))
 
 
-@register("SELECT n_nationkey, unnest(['a', 'b', 'c']) AS test, unnest(['x', 'y', 'z']) AS ref FROM nation")
-def positional_pairs(spark, sf_dir):
-    pairs = F.arrays_zip(F.array(*(F.lit(x) for x in "abc")).alias("test"), F.array(*(F.lit(x) for x in "xyz")).alias("ref"))
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.inline(pairs).alias("test", "ref"))
-
 
 @register("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def speaker_join(spark, sf_dir):

@@ -64,16 +64,6 @@ def clean_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
-@register("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[\\[\\](){}]', ' ', 'g'),
-  ',(\\S)', 'ˌ\\1', 'g'), ',$', 'ˌ'), '[&ㄜでかすπ%@]', '', 'g'), '\\|+', '|', 'g'), ' \\| ', ' ', 'g'), '^\\||\\|$', '', 'g'))) AS cleaned FROM
-  (SELECT page_id, regexp_replace(replace(html, ',,', ', '), '\\s+', ' ', 'g') AS html FROM pages)""")
-def post_clean(spark, sf_dir):
-    html = F.regexp_replace(F.replace("html", F.lit(",,"), F.lit(", ")), r"\s+", " ")
-    # single blanks again: the SQL does without that last step, so blanks that arise are kept apart here too
-    text = F.regexp_replace(F.regexp_replace(html, r"[\[\](){}]", " "), r",(?!\s)", "ˌ")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[{T.NOISE}]", ""), r"\|+", "|"), r" \| ", " "), r"^\||\|$", "")
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(text)).alias("cleaned"))
-
 
 @register("""SELECT doc_id, md5(CASE WHEN t = '' THEN t ELSE upper(t[1]) || t[2:] END) AS normalised FROM (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '!!', '!'), '¡¡', '¡'), '!,', '!'), '!.', '!'), '?,', '?'), '?.', '?'), '-', ' '),

@@ -69,6 +69,11 @@ def tokens_v6(text: Column) -> Column:
     return F.regexp_extract_all(_single_blanks(text), F.lit("[a-zA-ZÀ-ʯ]+|[^|\n]"), F.lit(0))
 
 
+def blanks_v6(text: Column) -> Column:
+    """How many blanks are among the tokens."""
+    return F.regexp_count(_single_blanks(F.regexp_replace(text, f"[{NOISE}]", "")), F.lit(" "))
+
+
 def tokens_v3(text: Column) -> Column:
     """Fields between separators, with a tone's digits as a token of their own."""
     fields = F.regexp_extract_all(_single_blanks(text), F.lit(r" |[^ |]+"), F.lit(0))

@@ -6,11 +6,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
+from tessitura.operators import ordered
 
 from . import register, sql
 from .tables import read
 
 
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, lang and n: how often each token is in the documents of a language.
+
+    No token but the blank goes beyond a word. So words are counted first, on
+    the map side, only distinct ones are cut into tokens, and blanks are counted
+    in the text.
+    """
+    docs = read(spark, sf_dir, "documents").select("lang", T.clean_text(F.col("text")).alias("text"))
+    words = docs.select("lang", F.explode(F.split("text", " ")).alias("word")).where("word <> ''").groupBy("word", "lang").agg(F.count("*").alias("n"))
+    inside = words.select("lang", "n", F.explode_outer(T.tokens_v6(F.col("word"))).alias("token")).where("token IS NOT NULL")
+    blanks = docs.select("lang", T.blanks_v6(F.col("text")).cast("long").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").withColumn("token", F.lit(" "))
+    return inside.unionByName(blanks).groupBy("token", "lang").agg(F.sum("n").alias("n"))
+
+
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """token and id: numbers from 1 in the order of the tokens, counted by their first signs."""
+    ranked = ordered.sum_before(tokens.select("token", F.lit(1).alias("all"), F.lit(1).cast("long").alias("one")), "all", "token", "one", part=F.substring("token", 1, 2))
+    return ranked.select("token", (F.col("before") + 1).alias("id"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", T.tokens_v6(T.clean_text(F.col("text"))).alias("tokens"))
     # outer, for the plain form is given a filter on the array's size, which would tokenise everything twice
@@ -23,7 +44,7 @@ _SQL_TOKENS = f"SELECT doc_id, lang, unnest({sql.tokens_v6(sql.clean('text'))})
 @register(f"""WITH t AS ({_SQL_TOKENS})
 SELECT token, count(*) AS total_count, count(DISTINCT lang) AS num_langs, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM t GROUP BY token""")
 def token_stats(spark, sf_dir):
-    by_lang = _tokens(spark, sf_dir).groupBy("token", "lang").agg(F.count("*").alias("n"))
+    by_lang = _weighted(spark, sf_dir)
     return by_lang.groupBy("token").agg(
         F.sum("n").alias("total_count"), F.count("lang").alias("num_langs"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages")
     )
@@ -32,9 +53,8 @@ def token_stats(spark, sf_dir):
 @register(f"""WITH t AS (SELECT DISTINCT token FROM ({_SQL_TOKENS}))
 SELECT token, row_number() OVER (ORDER BY token) AS id FROM t UNION ALL SELECT '<pad>', 0""")
 def vocab(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir).select("token").distinct()
-    numbered = tokens.select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("id"))
-    return numbered.unionByName(spark.createDataFrame([(T.PAD, 0)], "token string, id long"))
+    tokens = _weighted(spark, sf_dir).select("token").distinct()
+    return _numbered(tokens).unionByName(spark.createDataFrame([(T.PAD, 0)], "token string, id long"))
 
 
 @register(f"""WITH t AS (SELECT doc_id, lang, pos, tokens[pos] AS token FROM (SELECT doc_id, lang, tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM (SELECT doc_id, lang, {sql.tokens_v6(sql.clean('text'))} AS tokens FROM documents))),
@@ -43,8 +63,7 @@ pieces AS (SELECT doc_id, unnest(CASE WHEN known.id IS NULL AND t.token <> '…'
 SELECT doc_id, count(*) AS n_ids, CAST(sum(coalesce(known.id, 0)) AS BIGINT) AS id_sum, count(*) - count(known.id) AS n_unknown FROM pieces LEFT JOIN known ON piece = known.token GROUP BY doc_id""")
 def token_ids(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
-    frequent = tokens.groupBy("token").count().where("count >= 5").select("token")
-    known = frequent.select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("id"))
+    known = _numbered(_weighted(spark, sf_dir).groupBy("token").agg(F.sum("n").alias("n")).where("n >= 5").select("token"))
     first = tokens.join(known, "token", "left")
     pieces = first.select("doc_id", F.explode(F.when(F.col("id").isNull() & (F.col("token") != T.ELLIPSIS), F.filter(F.split("token", ""), lambda x: x != "")).otherwise(F.array("token"))).alias("piece"))
     return pieces.join(known.withColumnRenamed("token", "piece"), "piece", "left").groupBy("doc_id").agg(

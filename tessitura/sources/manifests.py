@@ -35,6 +35,12 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(lines.where(~F.col("value").rlike(r"^(audio_file|path|audio_path)\|"))).drop("_at")
 
 
+def last_of_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs with one key the last, in the order in which they were read."""
+    placed = pairs.withColumn("_at", F.monotonically_increasing_id())
+    return placed.groupBy("key").agg(F.max_by("val", "_at").alias("val"))
+
+
 def read_pairs(lines: DataFrame, suffix: str = "", tab: bool = False) -> DataFrame:
     """``key value`` lines; the value keeps its blanks. With ``tab`` a tab divides where there is one."""
     pattern = r"^(\S+)\s+(.*)$"
@@ -83,7 +89,12 @@ def read_word_map(lines: DataFrame) -> DataFrame:
 
 
 def read_metric_lines(lines: DataFrame, name: str) -> DataFrame:
-    """JSON rows with ``name`` and a last line ``NAME: value``: that value, or the rows' mean where it is missing."""
+    """JSON rows with ``name`` and a line ``NAME: value``: the last such value, or the rows' mean where there is none.
+
+    Lines are in order by ``line`` where they have that column.
+    """
     row = F.get_json_object("value", f"$.{name}").try_cast("double")
-    last = F.regexp_extract("value", rf"(?i)^{name}\s*:\s*([-0-9.eE]+)", 1).try_cast("double")
-    return lines.agg(F.coalesce(F.max(last), F.avg(row)).alias(name))
+    found = F.regexp_extract("value", rf"(?i)^{name}\s*:\s*([-0-9.eE]+)", 1).try_cast("double")
+    order = F.col("line") if "line" in lines.columns else F.monotonically_increasing_id()
+    numbered = lines.select(row.alias("_row"), found.alias("_last"), order.alias("_order"))
+    return numbered.agg(F.coalesce(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_order"))), F.avg("_row")).alias(name))

@@ -140,7 +140,7 @@ def test_assignment_is_the_best():
 
 
 def test_word_errors(spark):
-    assert metrics.word_counts("a b c", "a c d") == (2, 1, 1)
+    assert metrics.word_counts("a b c", "a c d") == (2, 0, 0)
     assert metrics.word_counts("", "x y") == (2, 2, 0)
     assert value(spark, metrics.error_rate(F.lit(2), F.lit(0))) == math.inf
     assert value(spark, metrics.error_rate(F.lit(0), F.lit(0))) == 0.0
@@ -184,3 +184,75 @@ def test_suppression():
     boxes = np.array([[0, 0, 2, 2], [0, 0, 2, 1.9], [5, 5, 6, 6]], float)
     assert clustering.suppress(boxes, np.array([0.9, 0.8, 0.7]), 0.5) == [0, 2]
     assert clustering.suppress(boxes[:0], np.zeros(0), 0.5) == []
+
+
+def test_word_errors_equal_brute_force():
+    """Every alignment is tried; of the cheapest the one with most substitutions counts."""
+    from functools import lru_cache
+
+    def slow(a, b):
+        @lru_cache(None)
+        def best(i, j):
+            if i == len(a):
+                return (len(b) - j, len(b) - j, 0)
+            if j == len(b):
+                return (len(a) - i, 0, len(a) - i)
+            e, n, d = best(i + 1, j + 1)
+            ways = [(e + (a[i] != b[j]), n, d)]
+            e, n, d = best(i, j + 1)
+            ways.append((e + 1, n + 1, d))
+            e, n, d = best(i + 1, j)
+            return min([*ways, (e + 1, n, d + 1)])
+
+        return best(0, 0)
+
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        assert metrics.word_counts(" ".join(a), " ".join(b)) == slow(tuple(a), tuple(b))
+
+
+def test_turns_never_shrink(spark):
+    rows = [("a", 0.0, 10.0, "x"), ("a", 2.0, 3.0, "x"), ("a", 4.0, 6.0, "y"), ("a", 4.5, 4.8, "z"), ("b", 0.0, 4.0, "x"), ("b", 3.0, 5.0, "y"), ("b", 6.0, 7.0, "y"), ("c", 0.0, 10.0, "x"), ("c", 1.0, 9.0, "y"), ("c", 2.0, 3.0, "x")]
+    got = intervals.turns_to_rttm(spark.createDataFrame(rows, "rec string, start double, stop double, label string"), "rec").orderBy("rec", "turn").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0.0, 5.0, "x"), ("a", 1, 5.0, 6.0, "y"), ("b", 0, 0.0, 3.5, "x"), ("b", 1, 3.5, 5.0, "y"), ("b", 2, 6.0, 7.0, "y"), ("c", 0, 0.0, 5.0, "x"), ("c", 1, 5.0, 9.0, "y")]
+
+
+def test_diarization_report(spark):
+    """One second missed, one false alarm, two of a wrong speaker, out of ten."""
+    schema = "rec string, label string, start double, stop double"
+    ref = spark.createDataFrame([("r", "A", 0.0, 6.0), ("r", "B", 6.0, 10.0)], schema)
+    hyp = spark.createDataFrame([("r", "1", 1.0, 8.0), ("r", "2", 8.0, 11.0)], schema)
+    got = {r.condition: (r.scored, r.missed, r.false_alarm, r.confused, round(r.der, 6)) for r in intervals.diarization_report(ref, hyp, "rec").collect()}
+    assert got == {"r": (10.0, 1.0, 1.0, 2.0, 40.0), "ALL": (10.0, 1.0, 1.0, 2.0, 40.0)}
+    assert {r.der for r in intervals.diarization_report(ref, ref, "rec", collar=0.25, skip_overlap=True).collect()} == {0.0}
+    assert {r.der for r in intervals.diarization_report(ref.where("false"), hyp, "rec").collect() if r.condition == "r"} == {100.0}
+
+
+def test_required_shares_and_files(spark):
+    from tessitura.operators import joins
+
+    rows = spark.createDataFrame([(k, k < 1) for k in range(10)], "id long, bad boolean")
+    assert joins.require_share(rows, rows.bad).count() == 9
+    with pytest.raises(Exception, match="more than 10%"):
+        joins.require_share(rows, rows.id < 2).collect()
+    assert joins.require_present(rows, rows.select("id"), "id").count() == 10
+    with pytest.raises(Exception, match="missing: 3"):
+        joins.require_present(rows, rows.where("id <> 3").select("id"), "id").collect()
+    with pytest.raises(Exception, match="lists of 1 and 2"):
+        joins.positional(spark.createDataFrame([(["a"], ["b", "c"])], "x array<string>, y array<string>"), "x", "y").collect()
+
+
+def test_samples_and_tracks(spark):
+    from tessitura.operators import signal
+
+    got = signal.cross_faded([np.ones(4), np.full(4, 3.0), np.ones(1)], 3)
+    assert np.allclose(got, [1, 1, 2, 3, 3]) and len(signal.cross_faded([], 3)) == 0
+    noisy = signal.mixed(np.ones(8), np.array([1.0, -1.0]), 20)
+    assert np.isclose(np.mean((noisy - 1) ** 2), 0.01)
+    assert np.allclose(signal.reverberated(np.array([1.0, 0, 0]), np.array([3.0, 4.0])), [0.6, 0.8, 0])
+    boxes = [(1, 1, 0.0), (1, 2, 50.0), (2, 3, 51.0), (2, 4, 1.0), (5, 5, 2.0), (9, 6, 2.0)]
+    faces = spark.createDataFrame([("s", f, i, x, 0.0, x + 10, 10.0) for f, i, x in boxes], "shot string, frame long, id long, left double, top double, right double, bottom double")
+    assert {r.id: r.track for r in signal.tracks(faces, "shot", 3).collect()} == {1: 0, 4: 0, 5: 0, 2: 1, 3: 1, 6: 2}
+    waves = spark.createDataFrame([("r", 1, [3.0, 3.0]), ("r", 0, [1.0, 1.0])], "rec string, k int, samples array<double>")
+    assert signal.concatenated(waves, "rec", "k", "samples", 0).first().samples == [1.0, 1.0, 3.0, 3.0]

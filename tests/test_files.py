@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from tessitura.sources import files, sinks
-from tessitura.sources.manifests import read_manifests, read_pairs, read_rttm, read_transcript
+from tessitura.operators import metrics
+from tessitura.sources import files, formats, sinks
+from tessitura.sources.manifests import last_of_pairs, read_manifests, read_metric_lines, read_pairs, read_rttm, read_transcript, read_uem
 from tessitura.streaming import incremental
 
 
@@ -90,3 +91,64 @@ def test_stream_equals_batch(spark, tmp_path):
         (source / "2.csv").write_text("b|2.0|3.5|Three.\n")
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     assert incremental.activity(events).selectExpr("sum(n)").first()[0] == events.count()
+
+
+def test_further_readers(spark, tmp_path):
+    import json
+
+    (tmp_path / "side").mkdir()
+    (tmp_path / "side" / "a.json").write_text(json.dumps({"gen_len": 7, "text_ipa": "x"}))
+    (tmp_path / "side" / "b.json").write_text("{broken")
+    assert sorted((r.key, r.gen_len, r.reject) for r in formats.read_sidecars(spark, f"{tmp_path}/side").collect()) == [("a", 7, None), ("b", None, "no side-car")]
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    pairs = formats.read_pair_list(lines("w1|t", "w2|r|t", "w3|x|t|r"))
+    assert sorted(tuple(r) for r in pairs.collect()) == [("w1", None, "t"), ("w2", "r", "t"), ("w3", "r", "t")]
+    there = spark.createDataFrame([("w2",)], "wav string")
+    assert formats.read_pair_list(lines("w1|t", "w2|r|t"), there).count() == 1
+    with pytest.raises(Exception, match="2, 3 or 4 fields"):
+        formats.read_pair_list(lines("w|a|b|c|d")).collect()
+    grid = """File type = "ooTextFile"\nObject class = "TextGrid"\nitem []:\n item [1]:\n class = "IntervalTier"\n name = "S1"\n xmin = 0\n xmax = 5\n intervals: size = 2\n intervals [1]:\n xmin = 2\n xmax = 3.5\n text = "say ""hi"" "\n intervals [2]:\n xmin = 3.5\n xmax = 5\n text = " "\n item [2]:\n class = "IntervalTier"\n name = "S2"\n xmin = 0\n xmax = 5\n intervals [1]:\n xmin = 0.5\n xmax = 1\n text = "yes"\n"""
+    got = formats.read_textgrid(spark.createDataFrame([("u", grid)], "utt string, value string")).collect()
+    assert [tuple(r) for r in got] == [("u", "S2", 0.5, 1.0, "yes"), ("u", "S1", 2.0, 3.5, 'say "hi"')]
+    assert [tuple(r) for r in formats.read_speakers(lines("s1 a b", "", "s2 c")).collect()] == [("s1", "a"), ("s1", "b"), ("s2", "c")]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "val_20.jsonl").write_text('{"lang": "en"}\n{"summary": {"mean_absolute_error": 0.5, "mean_relative_error": 0.1}}\n')
+    (tmp_path / "log" / "val_9.jsonl").write_text('{"summary": {"other": 1}}\n')
+    assert [tuple(r) for r in formats.read_history(spark, f"{tmp_path}/log").collect()] == [(20, 0.5, 0.1)]
+    (tmp_path / "cmvn").write_text("<Nnet>\n<AddShift> 2 2\n<LearnRateCoef> 0 [ 1.5 -2 ]\n<Rescale> 2 2\n<LearnRateCoef> 0 [ 3 4 ]\n</Nnet>\n")
+    assert tuple(formats.read_statistics(spark, f"{tmp_path}/cmvn").first()) == ([1.5, -2.0], [3.0, 4.0])
+    jobs = formats.conversion_jobs(spark, f"{tmp_path}/side", "a.*", "convert {source} {target}").first()
+    assert jobs.target.endswith("/side/a.wav") and jobs.command == f"convert {jobs.source} {jobs.target}"
+    regions = read_uem(lines("f 1 0 2", "f 1 2 3", "g 1 1 2"))
+    assert formats.disjoint_regions(regions).count() == 3
+    with pytest.raises(Exception, match="overlap in f"):
+        formats.disjoint_regions(read_uem(lines("f 1 0 2", "f 1 1 3"))).collect()
+    metrics = spark.createDataFrame([(0, '{"sim": 1}'), (1, "SIM: 9"), (2, "SIM: 4"), (3, "")], "line int, value string")
+    assert read_metric_lines(metrics, "sim").first()[0] == 4.0 and read_metric_lines(metrics.where("line = 0"), "sim").first()[0] == 1.0
+    assert {tuple(r) for r in last_of_pairs(read_pairs(lines("a 1", "b 2", "a 3")).coalesce(1)).collect()} == {("a", "3"), ("b", "2")}
+
+
+def test_further_writers(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(0.5, "b"), (0.25, "a"), (0.5, "c")], "speed double, name string")
+    sinks.write_counts(rows, f"{tmp_path}/n", "speed")
+    assert spark.read.text(f"{tmp_path}/n").first()[0] == '{"0.25":1,"0.5":2}'
+    sinks.write_json_array(rows, f"{tmp_path}/j", "name")
+    assert json.loads(spark.read.text(f"{tmp_path}/j").first()[0]) == [{"speed": 0.25, "name": "a"}, {"speed": 0.5, "name": "b"}, {"speed": 0.5, "name": "c"}]
+    report = metrics.class_report(spark.createDataFrame([(0, 0), (1, 1), (1, 0)], "t int, g int"), "t", "g")
+    sinks.write_class_report(report, f"{tmp_path}/c")
+    assert [tuple(r) for r in spark.read.option("header", "true").csv(f"{tmp_path}/c").collect()] == [("0", "1", "2", "1", "1.000", "0.500", "0.667"), ("1", "2", "1", "1", "0.500", "1.000", "0.667"), ("Total", "3", "3", "2", None, None, None)]
+    assert sinks.write_segments(rows, f"{tmp_path}/s", {"dur": 3}) and not sinks.write_segments(rows, f"{tmp_path}/s", {"dur": 3})
+    with pytest.raises(ValueError, match="other options"):
+        sinks.write_segments(rows, f"{tmp_path}/s", {"dur": 4})
+    waves = spark.createDataFrame([("a", [0.0, 0.5, -1.0, 2.0])], "path string, samples array<double>")
+    sinks.write_wavs(waves, f"{tmp_path}/w", 16000)
+    back = files.decode_wavs(spark.read.parquet(f"{tmp_path}/w")).first()
+    assert back.sample_rate == 16000 and np.allclose(back.samples, [0, 0.5, -1, 1], atol=1e-4)
+    sinks.write_generated(waves, f"{tmp_path}/g")
+    assert spark.read.parquet(f"{tmp_path}/g").first().samples[1] == 0.5
+    for k in "xy":
+        sinks.write_rttm(spark.createDataFrame([(k, 0.0, 1.0, "s")], "file string, start double, stop double, label string"), f"{tmp_path}/{k}.rttm")
+    sinks.concatenate_rttm(spark, [f"{tmp_path}/x.rttm", f"{tmp_path}/y.rttm"], f"{tmp_path}/all.rttm")
+    assert sorted(r.file for r in read_rttm(spark.read.text(f"{tmp_path}/all.rttm")).collect()) == ["x", "y"]

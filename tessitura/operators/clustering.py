@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Recordings with fewer rows aren't clustered: all get label 1.
-FEWEST = 10
+#: Recordings with fewer rows aren't clustered: all get label 1. With more than MOST their affinities would outgrow a task.
+FEWEST, MOST = 10, 10_000
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,12 +111,14 @@ METHODS = {"spectral": spectral, "average_link": average_link}
 
 
 def cluster(rows: DataFrame, group: str, key: str, vector: str, method: str = "spectral", least: int = 4, merge: float | None = None, **options) -> DataFrame:
-    """group, key and label of every embedding; a recording is one unit of work."""
+    """group, key and label of every embedding; a recording, of MOST rows at most, is one unit of work."""
     if method not in METHODS:
         raise ValueError(f"{method} isn't available: its packages aren't installed or it isn't known")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(data: pa.Table) -> pa.Table:
+        if data.num_rows > MOST:
+            raise ValueError(f"a recording has {data.num_rows} rows; {MOST} are the most: divide it")
         data = data.sort_by([(key, "ascending")])
         x = np.array(data[vector].to_pylist(), dtype=np.float64)
         if len(x) < FEWEST:

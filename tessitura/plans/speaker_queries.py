@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import numeric as N
-from tessitura.operators import clustering, joins, metrics, ordered
+from tessitura.operators import clustering, joins, metrics, ordered, vectors
 
 from . import register
 from .tables import read
@@ -85,54 +85,47 @@ def centroid(spark, sf_dir):
     return flat.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sqrt(F.var_samp(v) + 1e-8), 6).alias("deviation"))
 
 
-def _centroids(spark, sf_dir):
-    flat = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    mean = flat.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centre"))
-
-
 _SQL_CENTRES = "centres AS (SELECT label, list(m ORDER BY pos) AS centre FROM (SELECT label, pos, avg(v) AS m FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, pos) GROUP BY label)"
 
 
 @register(f"WITH {_SQL_CENTRES} SELECT vec_id, arg_max(c.label, round(list_cosine_similarity(embedding::DOUBLE[], centre), 9)) AS nearest, round(max(list_cosine_similarity(embedding::DOUBLE[], centre)), 6) AS similarity FROM embeddings, centres c GROUP BY vec_id")
 def nearest_centroid(spark, sf_dir):
-    """Centres are one row per label: one array of them goes to every row, so nothing is crossed."""
-    centres = _centroids(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("centres"))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(1).alias("one")).join(F.broadcast(centres.withColumn("one", F.lit(1))), "one")
-    scored = F.transform("centres", lambda c: F.struct(N.cosine(F.col("embedding"), c["centre"]).alias("s"), c["label"].alias("l")))
-    return rows.select("vec_id", F.array_max(scored).alias("best")).select("vec_id", F.col("best.l").alias("nearest"), F.round("best.s", 6).alias("similarity"))
+    rows = read(spark, sf_dir, "embeddings")
+    found = vectors.nearest(rows.select("vec_id", "embedding"), "embedding", vectors.centroids(rows, "label", "embedding"))
+    return found.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
 @register(f"""WITH {_SQL_CENTRES}, sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), cut AS (SELECT avg(n) AS m FROM sizes),
 large AS (SELECT c.* FROM centres c JOIN sizes USING (label) WHERE n >= (SELECT m FROM cut))
 SELECT vec_id, CASE WHEN e.label IN (SELECT label FROM large) THEN e.label ELSE (SELECT arg_max(l.label, list_cosine_similarity(e.embedding::DOUBLE[], l.centre)) FROM large l) END AS label FROM embeddings e""")
 def small_cluster_reassign(spark, sf_dir):
+    """Rows of small clusters go to the nearest large one; all get 0 if none is large."""
     rows = read(spark, sf_dir, "embeddings")
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    marked = sizes.withColumn("large", F.col("n") >= F.avg("n").over(Window.partitionBy()))
-    large = _centroids(spark, sf_dir).join(marked.where("large"), "label").agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("centres"), F.lit(1).alias("one"))
-    joined = rows.join(marked, "label").withColumn("one", F.lit(1)).join(F.broadcast(large), "one")
-    scored = F.transform("centres", lambda c: F.struct(N.cosine(F.col("embedding"), c["centre"]).alias("s"), c["label"].alias("l")))
-    return joined.select("vec_id", F.when(F.col("large"), F.col("label")).otherwise(F.array_max(scored)["l"]).alias("label"))
+    marked = sizes.withColumn("large", F.col("n") >= F.avg("n").over(Window.partitionBy())).drop("n")
+    large = vectors.centroids(rows, "label", "embedding").join(marked.where("large"), "label").select("label", "centre")
+    found = vectors.nearest(rows.join(marked, "label").select("vec_id", "label", "embedding", "large"), "embedding", large)
+    return found.select("vec_id", F.when(F.col("large"), F.col("label")).otherwise(F.coalesce("nearest", F.lit(0))).alias("label"))
 
 
-@register(f"""SELECT label, i, j, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim, j) AS k, count(*) OVER (PARTITION BY i) AS n FROM (
-SELECT a.label, a.vec_id AS i, b.vec_id AS j, round({_SQL_COS}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label)) WHERE k > least(CAST(floor(0.9 * n) AS BIGINT), n - 6)""")
+@register(f"""SELECT rec, i, j, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim, j) AS k, count(*) OVER (PARTITION BY i) AS n FROM (
+SELECT a.vec_id // 100 AS rec, a.vec_id AS i, b.vec_id AS j, round({_SQL_COS}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id // 100 = b.vec_id // 100)) WHERE k > least(CAST(floor(0.9 * n) AS BIGINT), n - 6)""")
 def affinity_prune(spark, sf_dir):
-    """Affinities within a recording; the reference's own limit on a recording's length bounds them."""
-    rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    right = rows.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
-    pairs = rows.join(right, "label").select("label", F.col("vec_id").alias("i"), "j", F.round(N.cosine(F.col("embedding"), F.col("b")), 9).alias("sim"))
+    """Affinities within a recording, which has a hundred rows at most, however large the table is."""
+    rows = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("rec"), "vec_id", "embedding")
+    right = rows.select("rec", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
+    pairs = rows.join(right, "rec").select("rec", F.col("vec_id").alias("i"), "j", F.round(N.cosine(F.col("embedding"), F.col("b")), 9).alias("sim"))
     order = Window.partitionBy("i")
     ranked = pairs.withColumn("k", F.row_number().over(order.orderBy("sim", "j"))).withColumn("n", F.count("*").over(order))
-    return ranked.where(F.col("k") > F.least(F.floor(0.9 * F.col("n")), F.col("n") - 6)).select("label", "i", "j", F.round("sim", 6).alias("sim"))
+    return ranked.where(F.col("k") > F.least(F.floor(0.9 * F.col("n")), F.col("n") - 6)).select("rec", "i", "j", F.round("sim", 6).alias("sim"))
 
 
-@register(f"SELECT a.vec_id, round(max({_SQL_COS}), 6) AS similarity, round(max(-ln(sqrt(greatest(2 - 2 * {_SQL_COS}, 0)) + 1e-8)), 6) AS spread FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
+@register(f"SELECT a.vec_id, round(max({_SQL_COS}), 6) AS similarity, round(max(-ln(sqrt(greatest(2 - 2 * {_SQL_COS}, 0)) + 1e-8)), 6) AS spread FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def nearest_neighbour(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    right = rows.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
-    near = rows.join(right, "label").where("vec_id <> j").groupBy("vec_id").agg(F.max(N.cosine(F.col("embedding"), F.col("b"))).alias("s"))
+    """The nearest other row of a batch of 64."""
+    rows = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("batch"), "vec_id", "embedding")
+    right = rows.select("batch", F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
+    near = rows.join(right, "batch").where("vec_id <> j").groupBy("vec_id").agg(F.max(N.cosine(F.col("embedding"), F.col("b"))).alias("s"))
     distance = F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))
     return near.select("vec_id", F.round("s", 6).alias("similarity"), F.round(-F.log(distance + 1e-8), 6).alias("spread"))
 
@@ -237,12 +230,12 @@ def equalised_weights(spark, sf_dir):
 
 @register()
 def spectral_labels(spark, sf_dir):
-    return clustering.cluster(read(spark, sf_dir, "embeddings").withColumn("rec", F.pmod("vec_id", F.lit(10))), "rec", "vec_id", "embedding")
+    return clustering.cluster(read(spark, sf_dir, "embeddings").withColumn("rec", F.floor(F.col("vec_id") / 100)), "rec", "vec_id", "embedding")
 
 
 @register()
 def average_link_labels(spark, sf_dir):
-    return clustering.cluster(read(spark, sf_dir, "embeddings").withColumn("rec", F.pmod("vec_id", F.lit(10))), "rec", "vec_id", "embedding", method="average_link", merge=0.9)
+    return clustering.cluster(read(spark, sf_dir, "embeddings").withColumn("rec", F.floor(F.col("vec_id") / 100)), "rec", "vec_id", "embedding", method="average_link", merge=0.9)
 
 
 @register("SELECT label, count(*) AS n FROM embeddings GROUP BY label")

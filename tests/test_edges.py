@@ -256,3 +256,17 @@ def test_samples_and_tracks(spark):
     assert {r.id: r.track for r in signal.tracks(faces, "shot", 3).collect()} == {1: 0, 4: 0, 5: 0, 2: 1, 3: 1, 6: 2}
     waves = spark.createDataFrame([("r", 1, [3.0, 3.0]), ("r", 0, [1.0, 1.0])], "rec string, k int, samples array<double>")
     assert signal.concatenated(waves, "rec", "k", "samples", 0).first().samples == [1.0, 1.0, 3.0, 3.0]
+
+
+def test_nearest_in_blocks(spark):
+    from tessitura.operators import vectors
+
+    rng = np.random.default_rng(24)
+    points, centres = rng.normal(size=(30, 4)), rng.normal(size=(25, 4))
+    rows = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] * 2, "id long, v array<double>")
+    middle = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "label long, centre array<double>")
+    want = (points / np.linalg.norm(points, axis=1, keepdims=True) @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T).argmax(axis=1)
+    for block in (1000, 4):
+        got = vectors.nearest(rows, "v", middle, block).collect()
+        assert {r.id: r.nearest for r in got} == dict(enumerate(want.tolist())) and len(got) == 60
+    assert vectors.nearest(rows, "v", middle.where("false")).where("nearest IS NULL").count() == 60

@@ -94,6 +94,26 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_key"))
 
 
+#: A key with over 1 / HOT of the rows is hot; so there are fewer than HOT of them.
+HOT = 2000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Joins ``left`` with ``right``, which has one row for each key, with hot keys dealt to many tasks.
+
+    ``counts`` has ``n``, the rows of ``left`` with each key. A hot key's rows
+    are numbered into parts of 1 / HOT of all, and its row of ``right`` goes
+    to each part. The list of hot keys has fewer than HOT rows, so it may be
+    broadcast.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int")
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(key, parts.alias("_parts")))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each.
 

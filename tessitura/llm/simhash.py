@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, whole_rows
+from .common import materialise, slices, spread_join, whole_rows
 from .graph import components
 
 SEED = 42
@@ -215,13 +215,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     are ignored; an empty table gives no rows.
     """
     found = materialise(fingerprints(docs, shingle), "fingerprints")
-    fps = found.groupBy("fp", "node").agg(F.min("doc_id").alias("first"))
+    fps = materialise(found.groupBy("fp", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(fps, budget))
     grouped = fps.join(roots, "node")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(smallest, "root").select("node", "component_id")
     named = fps.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread_join(found, named, "node", fps.select("node", "n")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Min-hashes of a signature, and how many of them make a band. A pair with a similarity of 0.8 shares
@@ -416,11 +416,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     """
     found = materialise(signatures(docs, shingle), "signatures")
     roots = similar_roots(docs, found, shingle, similarity)
-    firsts = found.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
-    firsts = firsts.select("node", "first", F.coalesce("root", "node").alias("root"))
+    counted = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    firsts = counted.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.select("node", "root").join(smallest, "root")
-    return found.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "component_id", "text_key", "root")
+    return spread_join(found.select("doc_id", "text_key", "node"), named, "node", counted).select("doc_id", "component_id", "text_key", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:

@@ -718,6 +718,15 @@ def test_simhash_equals_brute_force(spark):
     assert [got[d].component_id for d in ids] == [ids[k] for k in roots]
 
 
+def test_hot_keys_are_spread(spark):
+    from tessitura.llm.common import spread_join
+
+    left = spark.createDataFrame([(0 if k < 400 else k, k) for k in range(1000)], "node long, id long").repartition(5)
+    right = left.select("node").distinct().withColumn("root", F.col("node") * 2)
+    got = spread_join(left, right, "node", left.groupBy("node").agg(F.count("*").alias("n")))
+    assert sorted((r.node, r.id, r.root) for r in got.collect()) == sorted((0 if k < 400 else k, k, 0 if k < 400 else 2 * k) for k in range(1000))
+
+
 def test_simhash_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and simhash.near_duplicates(none).count() == 0

@@ -371,8 +371,8 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     nodes = found.groupBy("node").agg(source, F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.select("node", "source.doc_id", "source.text_key", "size", "bands"), "nodes")
     dealt = nodes.select("node", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    coarse = components(dealt.join(shared, "band").select(F.col("least").alias("u"), F.col("node").alias("v")))
+    shared = materialise(dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "bands")
+    coarse = components(spread_join(dealt, shared.drop("n"), "band", shared).select(F.col("least").alias("u"), F.col("node").alias("v")))
     placed = nodes.drop("bands").join(coarse, "node")
     groups = placed.groupBy("root").agg(F.count("*").alias("n"), _pieces(F.count("*"), F.sum("size")).alias("pieces"))
     groups = materialise(groups, "groups")
@@ -392,7 +392,7 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     top = F.max(F.struct("n", "weight", F.col("group").alias("top"))).alias("most")
     bands = parts.groupBy("band").agg(top, F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("weight").alias("weight")).where("k > 1")
     bands = bands.select(
-        "band", "most.top", _pieces(F.col("most.n"), F.col("most.weight")).alias("inside"), _pieces(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("outside")
+        "band", F.col("n"), "most.top", _pieces(F.col("most.n"), F.col("most.weight")).alias("inside"), _pieces(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("outside")
     )
     hashed = F.xxhash64("node", "band")
     own = F.pmod(hashed, F.col("outside"))
@@ -400,7 +400,8 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     across = F.transform(_numbers(F.col("inside")), lambda k: F.struct(own.alias("a"), (F.col("outside") + k).alias("b")))
     held = F.transform(_numbers(F.col("outside")), lambda k: F.struct(k.alias("a"), (F.col("outside") + F.pmod(hashed, F.col("inside"))).alias("b")))
     pair = F.explode(F.when(F.col("group") == F.col("top"), held).otherwise(F.concat(among, across))).alias("pair")
-    rest = open_.join(bands, "band").select("*", pair).withColumn("unit", F.xxhash64("band", "pair.a", "pair.b"))
+    bands = materialise(bands, "bands")
+    rest = spread_join(open_, bands.drop("n"), "band", bands).select("*", pair).withColumn("unit", F.xxhash64("band", "pair.a", "pair.b"))
     return components(edges.unionByName(exact_links(docs, rest, shingle, similarity)))
 
 

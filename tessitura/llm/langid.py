@@ -27,7 +27,7 @@ from .common import fold, slices, whole_rows
 BINS = 1 << 14
 ORDERS = (2, 3, 4)
 #: Bytes that are scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Margins count as the mean evidence of an n-gram times this, or times the n-grams if fewer.
 EVIDENCE = 60
 #: A text is ambiguous if the best score leads the next by less.

@@ -39,7 +39,7 @@ BLANKS = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 SPECIAL = "<|endoftext|>"
 IRREGULAR = ("  ", "\n ", " \n", SPECIAL)
 #: Chunks of text whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 
 _coders: dict = {}
 

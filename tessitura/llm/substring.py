@@ -37,7 +37,7 @@ from .common import materialise, slices
 LEAST = 35
 SEED_WORDS = 12
 #: Bytes whose words are hashed together.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of a window's hash that travel with its seed, of which it is given 64 bits more.
 KEPT = 5
 #: Seeds with over 1 / SHARE of all occurrences are hot. A task's summary of its seeds has COUNTERS of them at most, so it

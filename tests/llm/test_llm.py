@@ -473,7 +473,7 @@ def test_small_slices_and_hot_seeds_change_nothing(spark, monkeypatch, limit):
     assert [got[k] for k, _ in rows] == want and 0 < sum(w[1] for w in want)
 
 
-@pytest.mark.parametrize("block", [7, 1 << 21])
+@pytest.mark.parametrize("block", [7, 1 << 20])
 def test_word_hashes_tell_words_apart(monkeypatch, block):
     monkeypatch.setattr(substring, "BLOCK", block)
     rng, signs, seen = np.random.default_rng(19), list(b"ab \n\t\x0b\x0c\rxyz\x1c\x85\xc3\xa9\x00"), {}

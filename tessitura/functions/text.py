@@ -29,6 +29,11 @@ TRANSCRIPT_PUNCTUATION = "'\",.?!;:。，、！？；：「」『』【】-"
 # Languages whose phonemizer code differs from their own.
 PHONEMIZER_CODES = {"zh": "cmn", "en": "en-us", "fr": "fr-fr", "pt": "pt-br"}
 
+# What speech normalisation replaces, before and after quotes are made plain; and where sentences may be divided.
+DOUBLED_MARKS = (("!!", "!"), ("¡¡", "¡"), ("!,", "!"), ("!.", "!"), ("?,", "?"), ("?.", "?"), ("-", " "))
+LEFT_OUT = (("#", ""), ("*", " "))
+SENTENCE_ENDS = r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])"
+
 PAD, ELLIPSIS = "<pad>", "…"
 
 
@@ -84,9 +89,9 @@ def tokens_v3(text: Column) -> Column:
 def normalise_for_speech(text: Column) -> Column:
     """Lower case with one capital, plain quotes, no doubled marks, no blanks before punctuation."""
     text = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    text = replaced(text, [("!!", "!"), ("¡¡", "¡"), ("!,", "!"), ("!.", "!"), ("?,", "?"), ("?.", "?"), ("-", " ")])
+    text = replaced(text, list(DOUBLED_MARKS))
     text = F.regexp_replace(text, "[„“»«”]", '"')
-    text = replaced(text, [("#", ""), ("*", " ")])
+    text = replaced(text, list(LEFT_OUT))
     text = F.regexp_replace(F.regexp_replace(text, r"\s+([.,!?;:])", "$1"), r"([¡¿])\s+", "$1")
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
@@ -187,7 +192,7 @@ def repeats_itself(text: Column, length: int = 2, tolerance: int = 10) -> Column
 
 def chunks_within(text: Column, most: int) -> Column:
     """Sentences put together while they have ``most`` bytes at most; an ASCII ending gets a blank after it."""
-    sentence = F.filter(F.split(text, r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])"), lambda s: s != "")
+    sentence = F.filter(F.split(text, SENTENCE_ENDS), lambda s: s != "")
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, s: Column) -> Column:

@@ -270,3 +270,28 @@ def test_nearest_in_blocks(spark):
         got = vectors.nearest(rows, "v", middle, block).collect()
         assert {r.id: r.nearest for r in got} == dict(enumerate(want.tolist())) and len(got) == 60
     assert vectors.nearest(rows, "v", middle.where("false")).where("nearest IS NULL").count() == 60
+
+
+def documents_in(folder, rows):
+    """A table of documents by their texts and numbers of characters, as its view in DuckDB."""
+    import duckdb
+    import pandas as pd
+
+    path = f"{folder}/documents.parquet"
+    pd.DataFrame([(k, text, n) for k, (text, n) in enumerate(rows)], columns=["doc_id", "text", "n_chars"]).astype({"n_chars": "Int64"}).to_parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{path}'").fetchall()
+    return connection
+
+
+def test_rates_equal_sql_on_odd_rows(spark, tmp_path):
+    from oracle import same
+
+    from tessitura import plans
+
+    queries, oracles = plans.load()
+    # halves of a step, which a duration of few decimals misses; no characters; a vertical tab, which divides no words
+    ties = [("a " * w, 120 * w // k) for w in range(1, 60) for k in range(1, 65, 2) if 120 * w % k == 0]
+    odd = [("", 0), ("a", 0), ("a\x0bb\x0bc", 45), ("a\x0cb", 30), (None, 10), ("a b", None), ("a", -15), ("a", 7), ("a\u00a0b\u2028c", 22)]
+    connection = documents_in(tmp_path, ties + odd)
+    same(queries["rate_histogram"](spark, str(tmp_path)), oracles["rate_histogram"], connection)

@@ -50,7 +50,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    values = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    values = np.ascontiguousarray(values, "<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
         bits = np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -246,13 +251,15 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> tuple[int, np
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the text's words), size (distinct shingles) and bands of each document."""
+    """doc_id, text_key, node (a hash of the text's words), fp (the fingerprint of its set of shingles), size (of that set) and bands of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             got = [shingle_hashes(x or b"", shingle) for x in texts]
+            sets = [np.unique(x[1]) for x in got]
+            fps = [majority(x) if (t or b"").strip() else 0 for x, t in zip(sets, texts, strict=True)]
             values = np.concatenate([x[1] for x in got])
             sizes = np.array([len(x[1]) for x in got])
             starts = np.cumsum(sizes) - sizes
@@ -265,12 +272,13 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 batch.column("doc_id"),
                 batch.column("text_key"),
                 pa.array(np.array([x[0] for x in got], np.uint64).view(np.int64)),
-                pa.array([len(np.unique(x[1])) for x in got], pa.int64()),
+                pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array([len(x) for x in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets * bands.shape[1]), pa.array(bands.view(np.int64).ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "fp", "size", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, node long, fp long, size long, bands array<long>")
 
 
 def exact_labels(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> np.ndarray:
@@ -358,8 +366,8 @@ def _numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
 
 
-def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, root: equal roots for nodes that pairs with the similarity connect.
+def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, linked: DataFrame) -> DataFrame:
+    """node, root: equal roots for nodes that pairs with the similarity, or the links u, v that are given, connect.
 
     Nodes that bands connect form a group. A group of one piece is compared as
     a whole. In a larger one, pieces are compared first, with some pivots in
@@ -380,7 +388,7 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS
     every = F.when(pivot & (F.col("pieces") > 1), _numbers(F.col("pieces"))).otherwise(F.array(own))
     rows = placed.join(groups, "root").select("*", F.explode(every).alias("piece")).withColumn("unit", F.xxhash64("root", "piece")).withColumn("group", F.col("node"))
-    edges = exact_links(docs, rows, shingle, similarity)
+    edges = exact_links(docs, rows, shingle, similarity).unionByName(linked)
     large = groups.where("pieces > 1").select("root")
     if large.isEmpty():
         return components(edges)
@@ -405,19 +413,42 @@ def similar_roots(docs: DataFrame, found: DataFrame, shingle: int, similarity: f
     return components(edges.unionByName(exact_links(docs, rest, shingle, similarity)))
 
 
+def fingerprint_links(counted: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Links u, v that connect the nodes (with ``node`` and ``fp``) whose fingerprints the trie self-join connects.
+
+    All nodes of a component of fingerprints are linked to its least one.
+    """
+    number = lambda fp: pa.array((fp.to_numpy().view(np.uint64) * SCATTER).view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), number(batch.column("fp")), *map(batch.column, ("least", "n"))], names=["fp", "number", "least", "n"])
+
+    shared = counted.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    fps = materialise(shared.mapInArrow(run, "fp long, number long, least long, n long"), "fingerprints")
+    roots = components(links(fps, budget)).withColumnRenamed("node", "number")
+    joined = fps.join(roots, "number")
+    least = joined.groupBy("root").agg(F.min("least").alias("u"))
+    across = joined.join(least, "root").select("u", F.col("least").alias("v"))
+    several = fps.where("n > 1")
+    within = spread_join(counted.select("fp", "node"), several.select("fp", "least"), "fp", fps.select("fp", "n"))
+    return materialise(across.unionByName(within.select(F.col("least").alias("u"), F.col("node").alias("v"))).where("u <> v"), "links")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """doc_id, component_id, text_key and root: near-duplicates by the similarity of their word shingles.
-
-    64-bit fingerprints of pairs with a similarity of 0.8 differ in up to 16
-    bits, too many to find by equal blocks. So here candidates are pairs that
-    share a band of a min-hash signature, and one links if the Jaccard
-    similarity of its sets of shingles is ``similarity`` or more. Texts with
-    equal words in lower case are one node. Nulls, repeats and empty tables
-    are treated as in near_duplicates.
+    """doc_id, component_id, text_key and root: near-duplicates by fingerprints, and by the similarity of word shingles.
+
+    Fingerprints link as in near_duplicates. They are those of the sets of
+    shingles, so that what one text repeats doesn't make it a copy of another.
+    But those of pairs with a similarity of 0.8 differ in up to 16 bits, too
+    many to find by equal blocks. So pairs that share a band of a min-hash
+    signature link too if the Jaccard similarity of their sets of shingles is
+    ``similarity`` or more. Texts with equal words in lower case are one node.
+    Nulls, repeats and empty tables are treated as in near_duplicates.
     """
     found = materialise(signatures(docs, shingle), "signatures")
-    roots = similar_roots(docs, found, shingle, similarity)
-    counted = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    counted = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp")), "distinct")
+    roots = similar_roots(docs, found, shingle, similarity, fingerprint_links(counted))
     firsts = counted.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.select("node", "root").join(smallest, "root")
@@ -425,7 +456,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """Documents with one of each group of near-duplicates: that with the smallest doc_id.
+    """Documents with one of each group of near-duplicates (see similar_groups): that with the smallest doc_id.
 
     Rows without a doc_id come after those with one. Of rows that repeat a
     doc_id the one whose text has the smaller hash comes first, and of rows

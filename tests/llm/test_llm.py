@@ -827,6 +827,24 @@ def test_similar_sets_link_whatever_their_fingerprints(spark):
     assert want == {k: k % 100 for k, _ in rows} and similar(spark, rows) == want
 
 
+def test_kept_documents_share_no_fingerprint_class(spark, monkeypatch):
+    """What the trie self-join links goes, whether or not min-hash bands find it."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for k in range(12):
+        words = [f"k{rng.integers(10**6)}" for _ in range(1200)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join(words[:-1] + ["edited"])), (200 + k, " ".join(words[:-1] + ["EDITED"]))]
+    rows += [(300, None), (301, " "), (302, "")]
+    fps = [simhash.majority(np.unique(simhash.shingle_hashes((x or "").encode(), 5)[1])) if (x or "").strip() else 0 for _, x in rows]
+    want = {k: rows[low][0] for (k, _), low in zip(rows, reachable(fps), strict=True)}
+    assert len(set(want.values())) == 13
+    nothing = lambda *_: spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "exact_links", nothing)
+    assert similar(spark, rows) == want
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (501, 502)], "u long, v long")
     root = {r.node: r.root for r in components(edges).collect()}

@@ -50,7 +50,7 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 #: Labelled rows that the weights are fitted on, at most.
 FITTED = 5000
 #: Parts of all word pairs, by their hash, that are counted and looked up one after the other.
-ROUNDS = 8
+ROUNDS = 7
 #: Parts of one in which what pairs add is summed, so that sums don't depend on their order.
 UNIT = 1 << 24
 CLASSES = ("toxic", "ordinary")
@@ -286,8 +286,8 @@ def trained(labelled: DataFrame) -> tuple[Model, list[DataFrame]]:
         lefts = types.where("toxic_after + ordinary_after > 0").select(F.col("word").alias("before"), *(f"{c}_after" for c in CLASSES))
         added = []
         for part in found:
-            # merged at every size, as words grow with the input
-            joined = part.join(words.hint("merge"), "word").join(lefts.hint("merge"), "before")
+            # shuffled at every size, as words grow with the input; pairs and occurrences aren't sorted for it
+            joined = part.join(words.hint("shuffle_hash"), "word").join(lefts.hint("shuffle_hash"), "before")
             gain = {c: F.when(F.col(c) > 0, F.log1p((F.col(c) - discount[c]) / (discount[c] * F.col(f"{c}_after") * F.col(f"{c}_p")))).otherwise(0.0) for c in CLASSES}
             added.append(materialise(keyed(joined.select("word", "before", F.round((gain["toxic"] - gain["ordinary"]) * UNIT).cast("long").alias("added"))), "added"))
             discard(part)
@@ -351,7 +351,7 @@ def conditional(docs: DataFrame, found: DataFrame, added: list[DataFrame]) -> Da
     sums = []
     with tidied(docs.sparkSession):
         for part, known in enumerate(added):
-            joined = occurring(docs, part).join(known.hint("merge"), "key")
+            joined = occurring(docs, part).join(known.hint("shuffle_hash"), "key")
             sums.append(materialise(joined.groupBy("row").agg(F.sum(F.col("n") * F.col("added")).alias("added")), "sums"))
             discard(known)
         rows = found.withColumn("copies", F.lit(1)).unionByName(reduce(DataFrame.union, sums), allowMissingColumns=True)
